@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chunking, components, fusion, tokenizing
+from cairn.llm import chunking, components, fusion, packing, tokenizing
 from cairn.plans.common import Registry, table
 
 R = Registry()
@@ -82,3 +82,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every oversized unit, with their positions and the unit's locator."""
     return chunking.oversized_pieces(table(spark, d, "text_units"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokenizing.count_tokens(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens")[0]
+
+
+@R.add("p8_pack")
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces, their tokens and the container of 2,048 tokens that each goes into."""
+    return _packed(spark, d)
+
+
+@R.add("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, tokens in them and how full they are."""
+    return packing.container_report(_packed(spark, d))
