@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chunking, components, fusion, packing, tokenizing
+from cairn.llm import chunking, components, fusion, packing, tokenizing, toxicity
 from cairn.plans.common import Registry, table
 
 R = Registry()
@@ -99,3 +99,26 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Containers used, tokens in them and how full they are."""
     return packing.container_report(_packed(spark, d))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return toxicity.score(documents, toxicity.fit_on(documents, table(spark, d, "labels")))
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content, by the classifier and the threshold of their language."""
+    return _scored(spark, d).filter("flagged").select("doc_id")
+
+
+@R.add("p9_scores")
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d)
+
+
+@R.add("p9_rates")
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged ones and their rate per source."""
+    return toxicity.rates(_scored(spark, d))
