@@ -134,8 +134,8 @@ class Vocabulary:
         return np.concatenate([[0], ends + np.arange(1, len(texts) + 1)]), ids
 
 
-def sentences(offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sentences as rows of a matrix padded with END, the sentence of each occurrence, and its text.
+def sentences(offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sentences as rows of a matrix padded with END, the sentence of each occurrence, its text, and the distinct ones' hashes.
 
     Sentences longer than LONGEST words come in stretches that overlap by half.
     """
@@ -153,7 +153,7 @@ def sentences(offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
         nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
         begin, length, text = begin[which] + nth * half, np.minimum(length[which] - nth * half, LONGEST), text[which]
     if not len(begin):
-        return np.zeros((0, 1), np.int32), np.empty(0, np.int64), text
+        return np.zeros((0, 1), np.int32), np.empty(0, np.int64), text, np.empty(0, np.uint64)
     with np.errstate(over="ignore"):  # two sentences are the same if their 64-bit sums of mixed (word, place) and their lengths are
         place = np.arange(LONGEST, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
         place ^= place >> np.uint64(31)
@@ -162,12 +162,31 @@ def sentences(offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
         mixed = w * (place[at] | np.uint64(1))
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h = np.add.reduceat(mixed, np.cumsum(length) - length) + length.astype(np.uint64)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    kinds, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     matrix = np.zeros((len(first), int(length.max())), np.int32)
     l, b = length[first], begin[first]
     row, col = np.repeat(np.arange(len(first)), l), np.arange(int(l.sum())) - np.repeat(np.cumsum(l) - l, l)
     matrix[row, col] = ids[np.repeat(b, l) + col]
-    return matrix, inverse, text
+    return matrix, inverse, text, kinds
+
+
+def all_sentences(vocabulary: Vocabulary, texts: list[str | None], at_once: int = 500) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct sentences of many texts, and for each text which they are; the texts are read a slice at a time."""
+    known: dict[int, int] = {}
+    rows, members = [], []
+    for i in range(0, len(texts), at_once):
+        part = texts[i : i + at_once]
+        matrix, which, text, kinds = sentences(*vocabulary.ids(part))
+        fresh = np.array([k for k, h in enumerate(kinds.tolist()) if h not in known], np.int64)
+        known.update(zip(kinds[fresh].tolist(), range(len(known), len(known) + len(fresh)), strict=True))
+        place = np.fromiter(map(known.__getitem__, kinds.tolist()), np.int64, len(kinds))
+        padded = np.zeros((len(fresh), LONGEST), np.int32)
+        padded[:, : matrix.shape[1]] = matrix[fresh]
+        rows.append(padded)
+        bounds = np.searchsorted(text, np.arange(len(part) + 1))
+        members += [np.unique(place[which[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    matrix = np.concatenate(rows) if rows else np.zeros((0, LONGEST), np.int32)
+    return matrix, members
 
 
 @dataclass
@@ -250,16 +269,24 @@ def evidence(matrix: np.ndarray, members: list[np.ndarray], y: np.ndarray) -> np
 
     It tells which sentence of a case may have made it one, and which cases have none and are probably wrong verdicts.
     """
-    grams = _grams(matrix)
-    flat, inverse = np.unique(grams, return_inverse=True)
-    inverse = inverse.reshape(grams.shape)
-    counts = np.zeros((2, len(flat)))
+    flat, sentence = [], []
+    for i in range(0, len(matrix), 4096):
+        g = _grams(matrix[i : i + 4096]).reshape(len(matrix[i : i + 4096]), -1)
+        at, _ = there = np.nonzero(g)
+        flat.append(g[there])
+        sentence.append(at + i)
+    kinds, inverse = np.unique(np.concatenate(flat), return_inverse=True)
+    sentence = np.concatenate(sentence)
+    bounds = np.searchsorted(sentence, np.arange(len(matrix) + 1))
+    counts = np.zeros((2, len(kinds)), np.float32)
     for m, label in zip(members, y, strict=True):
-        counts[int(label), np.unique(inverse[m])] += 1
+        counts[int(label), np.unique(np.concatenate([inverse[bounds[k] : bounds[k + 1]] for k in m]))] += 1
     totals = np.array([(y == 0).sum(), (y == 1).sum()]) + 1
     odds = np.log((counts[1] + 0.5) / totals[1]) - np.log((counts[0] + 0.5) / totals[0])
-    odds[(counts[1] < max(2, (y == 1).sum() / SUPPORT)) | (flat == 0)] = -np.inf
-    return odds[inverse].max((1, 2))
+    odds[counts[1] < max(2, (y == 1).sum() / SUPPORT)] = -np.inf
+    out = np.full(len(matrix), -np.inf)
+    np.maximum.at(out, sentence, odds[inverse])
+    return out
 
 
 def _train(matrix: np.ndarray, members: list[np.ndarray], y: np.ndarray, n_rows: int, seed: int) -> dict[str, np.ndarray]:
@@ -355,7 +382,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The worst sentence's probability for each text; 0 for texts without words."""
         offsets, ids = self.vocabulary.ids(texts)
-        matrix, which, text = sentences(offsets, ids)
+        matrix, which, text, _ = sentences(offsets, ids)
         out = np.full(len(texts), -np.inf)
         if len(matrix):
             np.maximum.at(out, text, self.network.logits(matrix)[which])
@@ -392,10 +419,9 @@ def fit(texts: list[str], langs: list[str], y: np.ndarray, seed: int = 7, held_o
     rows[:RESERVED] = np.arange(RESERVED)
     used = np.flatnonzero(vocabulary.known)
     rows[used] = RESERVED + np.arange(len(used))
-    offsets, ids = vocabulary.ids(texts)
-    matrix, which, text = sentences(offsets, ids)
-    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-    members = [np.unique(which[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    del of
+    matrix, members = all_sentences(vocabulary, texts)
+    vocabulary._reset()
     usable = np.array([len(m) > 0 for m in members], bool)
     hold = rng.random(len(texts)) < held_out
     train = np.flatnonzero(usable & ~hold)
@@ -403,7 +429,8 @@ def fit(texts: list[str], langs: list[str], y: np.ndarray, seed: int = 7, held_o
     model = Model(vocabulary, Network(rows, weights, {"*": 0.5}))
     held = np.flatnonzero(usable & hold)
     if y[held].sum() >= least:
-        score, lang = model.scores([texts[i] for i in held]), np.array([langs[i] for i in held])
+        z = model.network.logits(matrix)
+        score, lang = np.array([1 / (1 + np.exp(-z[members[i]].max())) for i in held]), np.array([langs[i] for i in held])
         whole = float(np.clip(_best_threshold(score, y[held]), 0.2, 0.8))
         model.network.thresholds["*"] = whole
         for code in set(lang.tolist()):
