@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chunking, components, fusion, packing, tokenizing, toxicity
+from cairn.llm import chunking, components, fusion, markup, packing, tokenizing, toxicity
 from cairn.plans.common import Registry, table
 
 R = Registry()
@@ -122,3 +122,15 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     """Documents, flagged ones and their rate per source."""
     return toxicity.rates(_scored(spark, d))
+
+
+@R.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks whose text holds residue of markup."""
+    return markup.clean(table(spark, d, "blocks")).filter("residue and part = 0").select("block_id")
+
+
+@R.add("p3_clean")
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of every block without markup, with their kind and level."""
+    return markup.clean(table(spark, d, "blocks"))
