@@ -70,7 +70,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("p4_found", r"""
-SELECT id, CAST(max(CASE WHEN list_max(list_transform(regexp_extract_all(text, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F。！？]+'), x -> length(x))) > 1200 THEN 1 ELSE 0 END) AS BIGINT) AS forced
+SELECT id, CAST(max(CASE WHEN list_max(list_transform(regexp_extract_all(text, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F。！？]+'), lambda x: length(x))) > 1200 THEN 1 ELSE 0 END) AS BIGINT) AS forced
 FROM text_units WHERE length(text) > 1200 GROUP BY id""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Units that had to be cut, and whether some cut could not fall on a natural boundary."""
