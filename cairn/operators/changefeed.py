@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from cairn.session import filesystem, new_path, partitions
 
+#: The notations that Spark's own cast reads; what else is ISO 8601 goes the long way.
+PLAIN = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d{1,6})?(?:Z|[+-]\d\d:\d\d)?$"
 ISO = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:[Zz]|([+-])(\d{2}):?(\d{2})?)?$"
 STATE = "key string, op string, instant long, place long, action string, is_head boolean, is_deleted boolean"
 FEED = ["key", "op", "instant", "place", "action"]
@@ -43,7 +45,10 @@ def parse_instant(ts: Column) -> Column:
     shift = (hours * 60 + minutes).cast("long") * 60_000_000 * F.when(part(5) == "-", -1).otherwise(1)
     iso = F.unix_micros(whole) + F.coalesce(micros, F.lit(0)) - shift
     iso = F.when((hours < 24) & (minutes < 60), iso)
-    return F.when(t.rlike(r"^-?\d{1,15}$"), t.try_cast("long") * 1000).when(t.rlike(ISO), iso)
+    length = F.length(t)
+    zoned = (F.substring(t, -1, 1) == "Z") | F.substring(t, F.greatest(length - 5, F.lit(1)), F.lit(1)).isin("+", "-")
+    plain = F.unix_micros(F.when(zoned, t).otherwise(F.concat(t, F.lit("Z"))).try_cast("timestamp"))
+    return F.coalesce(F.when(t.rlike(PLAIN), plain), F.when(t.rlike(r"^-?\d{1,15}$"), t.try_cast("long") * 1000), F.when(t.rlike(ISO), iso))
 
 
 def fold_repeats(feed: DataFrame) -> DataFrame:
