@@ -143,6 +143,8 @@ def _pairs(text: str) -> list[Node]:
         if m.group(1):
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
+                    for inner, a, b in open_[k + 1 :]:  # left open: they end where the outer one does
+                        nodes.append(_element(inner, a, b, m.start(), m.start()))
                     _, a, b = open_[k]
                     del open_[k:]
                     nodes.append(_element(name, a, b, m.start(), m.end()))
@@ -152,6 +154,9 @@ def _pairs(text: str) -> list[Node]:
         elif m.group(4) or name in ("br", "hr", "img", "input", "link", "meta", "wbr", "col"):
             nodes.append(Node("tag", m.start(), m.end(), put="\n" if name in ("br", "hr") else _alt(m.group(3)) if name == "img" else ""))
         else:
+            if name in ("li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == name:  # the next one ends it
+                _, a, b = open_.pop()
+                nodes.append(_element(name, a, b, m.start(), m.start()))
             open_.append((name, m.start(), m.end()))
     for name, a, b in open_:  # never closed
         nodes.append(_element(name, a, b, b, b))
@@ -169,6 +174,9 @@ def _element(name: str, start: int, inner: int, stop: int, end: int) -> Node:
     if name in ("style", "script", "template"):
         return Node("tag", start, end, raw=True)
     mark: tuple | None = None
+    put = ""
+    if name in ("td", "th"):
+        put = " | "
     if re.fullmatch("h[1-6]", name):
         mark = ("heading", int(name[1]))
     elif name in ("pre", "syntaxhighlight"):
@@ -179,7 +187,7 @@ def _element(name: str, start: int, inner: int, stop: int, end: int) -> Node:
         mark = ("table", None)
     elif name in ("p", "div", "ul", "ol", "dl", "table", "blockquote", "section", "article", "center", "tbody", "thead"):
         mark = ("", None)
-    return Node("tag", start, end, keep, "", mark, raw=name in ("nowiki", "math"))
+    return Node("tag", start, end, keep, put, mark, raw=name in ("nowiki", "math"))
 
 
 def parse(text: str) -> list[Node]:
@@ -415,6 +423,7 @@ def _written(seed: int = 5, blocks: int = 5000) -> tuple[np.ndarray, np.ndarray]
         lambda: f"<{(t := r.choice(['div', 'DIV', 'span', 'p', 'td', 'ref', 'font']))} {r.choice(['class', 'id', 'name', 'data-k'])}={(q := r.choice(['', '', chr(34)]))}{w()}{q}>{r.choice([sentence, ph])()}</{t}>",
         lambda: f"{sentence()}<ref name={w()}>{ph()}</ref>",
         lambda: f"{w()}~\\{r.choice(['cite', 'ref', 'pageref'])}{{{w()}}}",
+        lambda: f"{w()}\\'e {w()}, see {w().capitalize()}~\\ref{{{w()[:3]}:{w()}}}.",
         lambda: f"see {w().capitalize()}~\\{r.choice(['ref', 'cite'])}{{{w()[:3]}:{w()}}}",
         lambda: f"<div class='{w()}'>{sentence()}</div>",
         lambda: f'<span data-k="{w()}"\n  title="x">{sentence()}</span>',
