@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Id prefixes and the kind each one names; the longer prefix is tried first.
 KINDS = {"op_": "operation", "c_": "capture", "n_": "note", "x_": "relationship", "k_": "claim", "e_": "entity", "g_": "community", "u_": "unit"}
@@ -27,7 +28,7 @@ def _slug_ascii(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _slug_unicode(s: pd.Series) -> pd.Series:
     plain = s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
     return plain.str.replace(r"[^a-z0-9]+", "-", regex=True).str.strip("-")
