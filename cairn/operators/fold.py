@@ -15,11 +15,21 @@ from cairn.operators.logfolds import status_of
 
 @dataclass
 class Graph:
+    """Long tables throughout: a slug or an edge may hold a third of all rows, so no row holds a list of them.
+
+    entities: slug, type, rank, declared. entity_notes: slug, note_id. entity_units: slug, unit_id. merged_from: slug, name.
+    members: key, id of the assertions of each aggregate.
+    """
+
     entities: DataFrame
     assertions: DataFrame
     aggregates: DataFrame
     claims: DataFrame
     revived: DataFrame
+    members: DataFrame
+    entity_notes: DataFrame
+    entity_units: DataFrame
+    merged_from: DataFrame
 
 
 def canonical(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
@@ -39,17 +49,27 @@ def fold_assertions(assertions: DataFrame, statuses: DataFrame, adoptions: DataF
     return canonical(canonical(a, "source", merges), "target", merges)
 
 
-def aggregate_edges(assertions: DataFrame, edge_types: DataFrame) -> DataFrame:
-    """Typed assertions grouped by (source, type, target), symmetric ends sorted (A1). ``edge_types``: type, symmetric, weight."""
+def _shaped(assertions: DataFrame, edge_types: DataFrame) -> DataFrame:
+    """Typed assertions with the key and the ends of their aggregate, symmetric ends sorted."""
     t = assertions.filter("type is not null").join(edge_types.select("type", "symmetric"), "type")
     left = F.when(F.col("symmetric"), F.least("source", "target")).otherwise(F.col("source"))
     right = F.when(F.col("symmetric"), F.greatest("source", "target")).otherwise(F.col("target"))
+    shaped = t.select("id", "status", "strength", left.alias("source"), "type", right.alias("target"))
+    return shaped.withColumn("key", F.concat(F.lit("r:"), "source", F.lit("|"), "type", F.lit("|"), "target"))
+
+
+def aggregate_edges(assertions: DataFrame, edge_types: DataFrame) -> DataFrame:
+    """Typed assertions grouped by (source, type, target) (A1): only sums and counts, which combine before the shuffle. ``edge_types``: type, symmetric, weight."""
     done = F.col("status") == "confirmed"
-    g = t.groupBy(left.alias("source"), "type", right.alias("target")).agg(
-        F.count_if(done).alias("weight"), F.coalesce(F.avg(F.when(done, F.col("strength"))), F.lit(0.0)).alias("mean_strength"), F.array_sort(F.collect_list("id")).alias("assertion_ids")
+    g = _shaped(assertions, edge_types).groupBy("key", "source", "type", "target").agg(
+        F.count_if(done).alias("weight"), F.coalesce(F.avg(F.when(done, F.col("strength"))), F.lit(0.0)).alias("mean_strength"), F.count("*").alias("n_assertions")
     )
-    key = F.concat(F.lit("r:"), "source", F.lit("|"), "type", F.lit("|"), "target")
-    return g.select(key.alias("key"), "source", "type", "target", "weight", "mean_strength", "assertion_ids", (F.col("weight") > 0).alias("traversable"))
+    return g.withColumn("traversable", F.col("weight") > 0)
+
+
+def edge_members(assertions: DataFrame, edge_types: DataFrame) -> DataFrame:
+    """key, id of the assertions of each aggregate."""
+    return _shaped(assertions, edge_types).select("key", "id")
 
 
 def degree(aggregates: DataFrame) -> DataFrame:
@@ -87,18 +107,19 @@ def fold(
     known = F.col("type").isin(*entity_types)
     per = touch.groupBy("slug").agg(
         F.max_by(F.when(known, F.col("type")), F.when(known, F.struct("created", "note_id", "pos"))).alias("type"),
-        F.array_sort(F.collect_set("note_id")).alias("note_ids"),
-        F.array_sort(F.array_except(F.collect_set("raw"), F.array(F.first("slug")))).alias("merged_from"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("units", F.array().cast("array<string>")))))).alias("text_unit_ids"),
         F.bool_or("declared").alias("declared"),
         F.bool_or("live").alias("live"),
     )
     gone = canonical(retired.select("slug"), "slug", merges).distinct().withColumn("_retired", F.lit(True))
     per = per.join(gone, "slug", "left").withColumn("_retired", F.coalesce("_retired", F.lit(False)))
     kept = per.filter("live or (declared and not _retired)").join(degree(edges), "slug", "left")
-    entities = kept.select("slug", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank"), "note_ids", "merged_from", "text_unit_ids", "declared")
+    entities = kept.select("slug", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank"), "declared")
     revived = per.filter("live and _retired").select("slug")
-    return Graph(entities, a, edges, c.drop("_before"), revived)
+    own = entities.select("slug")
+    entity_notes = touch.select("slug", "note_id").distinct().join(own, "slug", "left_semi")
+    entity_units = touch.select("slug", F.explode("units").alias("unit_id")).distinct().join(own, "slug", "left_semi")
+    merged_from = touch.filter("raw <> slug").select("slug", F.col("raw").alias("name")).distinct().join(own, "slug", "left_semi")
+    return Graph(entities, a, edges, c.drop("_before"), revived, edge_members(a, edge_types), entity_notes, entity_units, merged_from)
 
 
 def assertions_ends(raw: DataFrame, end: str, folded: DataFrame) -> DataFrame:

@@ -103,12 +103,13 @@ def similar(vectors: DataFrame, floor: float, block: int = 1024) -> DataFrame:
 
 
 def type_findings(instances: DataFrame, entities: DataFrame, entity_types: list[str]) -> DataFrame:
-    """kind, slug, note_ids: unknown types, several configured types, and entities that no note declares."""
+    """kind, slug, notes (how many): unknown types, several configured types, and entities that no note declares."""
     typed = instances.filter("type is not null")
-    unknown = typed.filter(~F.col("type").isin(entity_types)).groupBy("slug").agg(F.array_sort(F.collect_set("note_id")).alias("note_ids")).select(F.lit("unknown_entity_type").alias("kind"), "slug", "note_ids")
-    per = typed.filter(F.col("type").isin(entity_types)).groupBy("slug").agg(F.count_distinct("type").alias("n"), F.array_sort(F.collect_set("note_id")).alias("note_ids"))
-    conflict = per.filter("n > 1").select(F.lit("conflicting_entity_type").alias("kind"), "slug", "note_ids")
-    only = entities.join(instances.select("slug").distinct(), "slug", "left_anti").select(F.lit("reference_only_entity").alias("kind"), "slug", "note_ids")
+    notes = F.count_distinct("note_id").alias("notes")
+    unknown = typed.filter(~F.col("type").isin(entity_types)).groupBy("slug").agg(notes).select(F.lit("unknown_entity_type").alias("kind"), "slug", "notes")
+    per = typed.filter(F.col("type").isin(entity_types)).groupBy("slug").agg(F.count_distinct("type").alias("n"), notes)
+    conflict = per.filter("n > 1").select(F.lit("conflicting_entity_type").alias("kind"), "slug", "notes")
+    only = entities.join(instances.select("slug").distinct(), "slug", "left_anti").select(F.lit("reference_only_entity").alias("kind"), "slug", F.lit(0).cast("long").alias("notes"))
     return unknown.unionByName(conflict).unionByName(only)
 
 
@@ -118,12 +119,12 @@ def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
 
 
 def proposals(assertions: DataFrame, adopted: DataFrame) -> DataFrame:
-    """kind, proposed, count, example, ids of the wordings not adopted (A10). The example is that of the smallest id."""
+    """kind, proposed, count, example of the wordings not adopted (A10). The example is that of the smallest id."""
     wording = F.regexp_replace(F.regexp_replace(F.lower("proposed_type"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     p = assertions.filter("type is null and proposed_type is not null").withColumn("proposed", wording).withColumn("kind", F.lit("edge"))
     p = p.join(adopted.select("kind", "proposed"), ["kind", "proposed"], "left_anti")
     example = F.concat_ws(" ", "source", "proposed_type", "target")
-    return p.groupBy("kind", "proposed").agg(F.count("*").alias("count"), F.min_by(example, "id").alias("example"), F.array_sort(F.collect_set("id")).alias("ids"))
+    return p.groupBy("kind", "proposed").agg(F.count("*").alias("count"), F.min_by(example, "id").alias("example"))
 
 
 def signature_findings(assertions: DataFrame, entities: DataFrame, rules: DataFrame) -> DataFrame:

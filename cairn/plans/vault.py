@@ -181,7 +181,7 @@ def g1_assertions(spark: SparkSession, d: str) -> DataFrame:
     return folded(spark, d)[0].assertions.select("id", "note_id", "source", "target", "type", "status", "strength")
 
 
-@R.add("A1_aggregates", f"WITH {GRAPH_SQL} SELECT key, source, type, target, weight, round(mean_strength, 9) AS mean_strength, assertion_ids, traversable FROM ag")
+@R.add("A1_aggregates", f"WITH {GRAPH_SQL} SELECT key, source, type, target, weight, round(mean_strength, 9) AS mean_strength, CAST(len(assertion_ids) AS BIGINT) AS n_assertions, traversable FROM ag")
 def a1(spark: SparkSession, d: str) -> DataFrame:
     """Aggregate edges with weight and mean strength."""
     return folded(spark, d)[0].aggregates.withColumn("mean_strength", F.round("mean_strength", 9))
@@ -197,12 +197,36 @@ def graph_rank(g: fold_.Graph) -> DataFrame:
     return fold_.degree(g.aggregates)
 
 
-@R.add("G1_entities", f"WITH {GRAPH_SQL} SELECT slug, type, rank, note_ids, merged_from, text_unit_ids, declared FROM en")
+@R.add("G1_entities", f"WITH {GRAPH_SQL} SELECT slug, type, rank, declared FROM en")
 def g1_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Folded entities with type, rank and provenance."""
+    """Folded entities with type and rank."""
     return folded(spark, d)[0].entities
 
 
+@R.add("A4_entity_notes", f"WITH {GRAPH_SQL} SELECT slug, unnest(note_ids) AS note_id FROM en")
+def a4(spark: SparkSession, d: str) -> DataFrame:
+    """The notes that touch each entity."""
+    return folded(spark, d)[0].entity_notes
+
+
+@R.add("K9_provenance", f"WITH {GRAPH_SQL} SELECT slug, unnest(text_unit_ids) AS unit_id FROM en")
+def k9(spark: SparkSession, d: str) -> DataFrame:
+    """The text units behind each entity, each once."""
+    return folded(spark, d)[0].entity_units
+
+
+@R.add("J2_merged_names", f"WITH {GRAPH_SQL} SELECT slug, unnest(merged_from) AS name FROM en")
+def j2(spark: SparkSession, d: str) -> DataFrame:
+    """Names that were merged into each entity."""
+    return folded(spark, d)[0].merged_from
+
+
+@R.add("J6_aggregate_members", f"WITH {GRAPH_SQL} SELECT key, unnest(assertion_ids) AS id FROM ag")
+def j6(spark: SparkSession, d: str) -> DataFrame:
+    """The assertions of each aggregate."""
+    return folded(spark, d)[0].members
+
+
 @R.add("G16_claims", f"WITH {GRAPH_SQL} SELECT id, note_id, subject, text, status, valid_from, valid_to, supersedes FROM fc")
 def g16(spark: SparkSession, d: str) -> DataFrame:
     """Folded claims with supersession."""
@@ -261,9 +285,9 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("G14_type_findings", f"""WITH {GRAPH_SQL}, i AS (SELECT * FROM inst WHERE note_id IN (SELECT id FROM n0))
-SELECT 'unknown_entity_type' AS kind, slug, list_sort(list(DISTINCT note_id)) AS note_ids FROM i WHERE type IS NOT NULL AND type NOT IN {_TYPES} GROUP BY slug
-UNION ALL SELECT 'conflicting_entity_type', slug, list_sort(list(DISTINCT note_id)) FROM i WHERE type IN {_TYPES} GROUP BY slug HAVING count(DISTINCT type) > 1
-UNION ALL SELECT 'reference_only_entity', slug, note_ids FROM en WHERE slug NOT IN (SELECT slug FROM i)""")
+SELECT 'unknown_entity_type' AS kind, slug, count(DISTINCT note_id) AS notes FROM i WHERE type IS NOT NULL AND type NOT IN {_TYPES} GROUP BY slug
+UNION ALL SELECT 'conflicting_entity_type', slug, count(DISTINCT note_id) FROM i WHERE type IN {_TYPES} GROUP BY slug HAVING count(DISTINCT type) > 1
+UNION ALL SELECT 'reference_only_entity', slug, 0 FROM en WHERE slug NOT IN (SELECT slug FROM i)""")
 def g14(spark: SparkSession, d: str) -> DataFrame:
     """Unknown, conflicting and missing declarations of entity types."""
     g, v = folded(spark, d)
@@ -284,7 +308,7 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
     return graph.signature_findings(g.assertions, g.entities, spark.createDataFrame(RULES, "type string, domain array<string>, range array<string>"))
 
 
-@R.add("A10_proposals", f"WITH {GRAPH_SQL}, p AS (SELECT *, 'edge' AS kind, trim(regexp_replace(lower(proposed_type), '[^a-z0-9]+', '-', 'g'), '-') AS proposed FROM fa WHERE type IS NULL AND proposed_type IS NOT NULL) SELECT kind, proposed, count(*) AS count, arg_min(source || ' ' || proposed_type || ' ' || target, id) AS example, list_sort(list(DISTINCT id)) AS ids FROM p WHERE proposed NOT IN (SELECT proposed FROM ad) GROUP BY 1, 2")
+@R.add("A10_proposals", f"WITH {GRAPH_SQL}, p AS (SELECT *, 'edge' AS kind, trim(regexp_replace(lower(proposed_type), '[^a-z0-9]+', '-', 'g'), '-') AS proposed FROM fa WHERE type IS NULL AND proposed_type IS NOT NULL) SELECT kind, proposed, count(*) AS count, arg_min(source || ' ' || proposed_type || ' ' || target, id) AS example FROM p WHERE proposed NOT IN (SELECT proposed FROM ad) GROUP BY 1, 2")
 def a10(spark: SparkSession, d: str) -> DataFrame:
     """Wordings of edge types that wait for adoption."""
     g, v = folded(spark, d)
@@ -458,7 +482,10 @@ _HASHED = """h AS (SELECT slug, 'type=' || type AS line, 0 AS part, '' AS k FROM
   UNION ALL SELECT subject, 'claim=' || id || ':' || status || ':' || coalesce(valid_from, 'None') || ':' || coalesce(valid_to, 'None') || ':sha256:' || sha256(coalesce(text, '')), 4, id FROM fc SEMI JOIN en ON en.slug = fc.subject)"""
 
 
-@R.add("A19_evidence_hashes", f"WITH {GRAPH_SQL}, {_HASHED} SELECT slug, 'sha256:' || sha256(string_agg(line, chr(10) ORDER BY part, k)) AS input_hash FROM h WHERE line IS NOT NULL GROUP BY 1")
+_MERKLE = ", hb AS (SELECT slug, part, substr(md5(k), 1, 3) AS bucket, sha256(string_agg(line, chr(10) ORDER BY k)) AS b FROM h WHERE line IS NOT NULL GROUP BY 1, 2, 3)"
+
+
+@R.add("A19_evidence_hashes", f"WITH {GRAPH_SQL}, {_HASHED} {_MERKLE} SELECT slug, 'sha256:' || sha256(string_agg(b, chr(10) ORDER BY part, bucket)) AS input_hash FROM hb GROUP BY 1")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     """A hash of all evidence about each entity, so a page that it no longer matches is stale."""
     g, v = folded(spark, d)
@@ -466,7 +493,11 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_hashes(g: fold_.Graph, notes: DataFrame) -> DataFrame:
-    """slug, input_hash: the lines of type, notes, assertions, traversable edges and claims, in that order, hashed."""
+    """slug, input_hash over the lines of type, notes, assertions, traversable edges and claims.
+
+    The hash is a tree of two levels: lines are hashed in order within each of 4,096 buckets of their key, and the buckets'
+    hashes in order, so an entity with a third of all evidence is spread over tasks.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     hashed = lambda c: S.content_hash(F.coalesce(c, F.lit("")))
     own = g.entities.select("slug")
@@ -474,7 +505,7 @@ def evidence_hashes(g: fold_.Graph, notes: DataFrame) -> DataFrame:
     units = F.when(F.size("text_unit_ids") > 0, F.concat(F.lit(":"), F.array_join("text_unit_ids", ","))).otherwise("")
     e = graph.undirected(g.aggregates.filter("traversable")).join(own, "slug", "left_semi")
     c = g.claims.withColumn("slug", F.col("subject")).join(own, "slug", "left_semi")
-    n = g.entities.select("slug", F.explode("note_ids").alias("id")).join(notes.select("id", "body"), "id")
+    n = g.entity_notes.select("slug", F.col("note_id").alias("id")).join(notes.select("id", "body"), "id")
     lines = [
         g.entities.select("slug", F.lit(0).alias("part"), F.lit("").alias("k"), F.concat(F.lit("type="), "type").alias("line")),
         n.filter("body is not null").select("slug", F.lit(1).alias("part"), F.col("id").alias("k"), F.concat(F.lit("note="), "id", F.lit(":"), S.content_hash("body")).alias("line")),
@@ -485,8 +516,11 @@ def evidence_hashes(g: fold_.Graph, notes: DataFrame) -> DataFrame:
     all_ = lines[0]
     for x in lines[1:]:
         all_ = all_.unionByName(x)
-    ordered = F.array_sort(F.collect_list(F.struct("part", "k", "line")))
-    return all_.groupBy("slug").agg(ordered.alias("l")).select("slug", S.content_hash(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("input_hash"))
+    ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    joined = lambda c: F.array_join(F.transform("l", lambda x: x[c]), "\n")
+    low = all_.groupBy("slug", "part", F.substring(F.md5("k"), 1, 3).alias("bucket")).agg(ordered("k", "line").alias("l"))
+    low = low.select("slug", "part", "bucket", F.sha2(joined("line"), 256).alias("b"))
+    return low.groupBy("slug").agg(ordered("part", "bucket", "b").alias("l")).select("slug", S.content_hash(joined("b")).alias("input_hash"))
 
 
 @R.add("J18_drift", "WITH s AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), c AS (SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0) SELECT coalesce(s.doc_id, c.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'added' WHEN c.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM s FULL JOIN c ON s.doc_id = c.doc_id WHERE s.doc_id IS NULL OR c.doc_id IS NULL OR s.h IS DISTINCT FROM c.h")
@@ -519,8 +553,8 @@ def k11(spark: SparkSession, d: str) -> DataFrame:
 def k10(spark: SparkSession, d: str) -> DataFrame:
     """Edges with their members, as the export lists them."""
     g, _ = folded(spark, d)
-    members = g.aggregates.select("key", F.explode("assertion_ids").alias("id")).join(g.assertions.select("id", "status"), "id").groupBy("key").agg(F.array_sort(F.collect_set("status")).alias("statuses"))
-    return g.aggregates.join(members, "key").select("key", "source", "target", "type", "weight", "traversable", F.size("assertion_ids").cast("long").alias("n_assertions"), "statuses")
+    members = g.members.join(g.assertions.select("id", "status"), "id").groupBy("key").agg(F.array_sort(F.collect_set("status")).alias("statuses"))  # three statuses
+    return g.aggregates.join(members, "key").select("key", "source", "target", "type", "weight", "traversable", "n_assertions", "statuses")
 
 
 @R.add("G20_alias_lookup", "WITH al AS (SELECT DISTINCT lower(trim(unnest(merged_from))) AS alias, slug FROM entities) SELECT n.base AS name, min(coalesce(e.slug, al.slug)) AS slug, count(DISTINCT coalesce(e.slug, al.slug)) AS candidates FROM (SELECT DISTINCT lower(trim(base)) AS base FROM near_duplicates WHERE trim(base) <> '') n LEFT JOIN entities e ON e.slug = n.base LEFT JOIN al ON al.alias = n.base AND e.slug IS NULL GROUP BY 1")
