@@ -37,6 +37,8 @@ TAG = re.compile(rf"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:{ATTR})*)\s*(/?)>""")
 CUT = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)\Z""")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![A-Za-z][^<>]*>|<\?.*?\?>", re.S)
 CHARREF = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+FENCE = re.compile(r"^ {0,3}(```+|~~~+)[ \t]*([\w+-]*)[ \t]*$\n?(.*?)(?:^ {0,3}\1[ \t]*$|\Z)", re.M | re.S)
+SETEXT = re.compile(r"^([^\n]*\S[^\n]*)\n(=+|-{2,})[ \t]*$", re.M)
 BOOLEAN = frozenset("disabled checked hidden selected required readonly open async defer multiple controls nowrap".split())
 
 SUSPECT = re.compile(r"[<&*_$\[\\#|=~{`>]|''|'\d|^\s*(?:[-+;:!]|\d{1,3}[.)])[ \t]|^[ \t]*-[ \t-]*$", re.M)
@@ -192,22 +194,25 @@ def _element(name: str, start: int, inner: int, stop: int, end: int) -> Node:
 
 def parse(text: str) -> list[Node]:
     """The nodes of a text as a tree (``parent`` and ``children`` are indices; parents come first). Crossing stretches: the earlier wins, of equal starts the longer."""
-    nodes = _pairs(text)
-    for m in COMMENT.finditer(text):
+    nodes = _pairs(text) if "<" in text else []
+    for m in COMMENT.finditer(text) if "<" in text else ():
         nodes.append(Node("comment", m.start(), m.end(), raw=True))
-    if (m := CUT.search(text)) and m.group(2).lower() in ELEMENTS and ">" not in re.sub(r"\"[^\"]*\"|'[^']*'", "", m.group(3)):
+    if (cut := text.rfind("<")) >= 0 and (m := CUT.match(text, cut)) and m.group(2).lower() in ELEMENTS and ">" not in re.sub(r"\"[^\"]*\"|'[^']*'", "", m.group(3)):
         nodes.append(Node("cut", m.start(), m.end(), raw=True))
-    for m in CHARREF.finditer(text):
+    for m in CHARREF.finditer(text) if "&" in text else ():
         name = m.group()[1:]
         if name[0] == "#" or name in html5:
             nodes.append(Node("charref", m.start(), m.end(), put=html.unescape(m.group()), raw=True))
-    for m in re.finditer(r"^ {0,3}(```+|~~~+)[ \t]*([\w+-]*)[ \t]*$\n?(.*?)(?:^ {0,3}\1[ \t]*$|\Z)", text, re.M | re.S):
+    for m in FENCE.finditer(text) if "```" in text or "~~~" in text else ():
         nodes.append(Node("fence", m.start(), m.end(), ((m.start(3), m.end(3)),), "", ("code", None), raw=True))
-    for m in re.finditer(r"^([^\n]*\S[^\n]*)\n(=+|-{2,})[ \t]*$", text, re.M):
+    for m in SETEXT.finditer(text) if "\n=" in text or "\n--" in text else ():
         if not re.match(r"\s*[|>#-]", m.group(1)):
             nodes.append(Node("setext", m.start(), m.end(), ((m.start(1), m.end(1)),), "", ("heading", 1 if m.group(2)[0] == "=" else 2)))
-    nodes += _latex(text)
-    for family, pattern, group, raw in INLINE_RULES:
+    if "\\" in text:
+        nodes += _latex(text)
+    for (family, pattern, group, raw), sign in zip(INLINE_RULES, INLINE_SIGNS, strict=True):
+        if sign not in text and not (sign == "__" and "~~~" in text):
+            continue
         for m in pattern.finditer(text):
             keep, put = (), ""
             if group is not None and (g := next((i for i in range(group, m.re.groups + 1) if m.group(i) is not None), None)):
@@ -220,7 +225,9 @@ def parse(text: str) -> list[Node]:
                 put = unicodedata.normalize("NFC", (m.group(2) or m.group(3)) + ACCENTS[m.group(1)])
             nodes.append(Node(family, m.start(), m.end(), keep, put, raw=raw))
     wiki_table = re.search(r"^\{\|", text, re.M) is not None
-    for family, pattern, group, mark in LINE_RULES:
+    for (family, pattern, group, mark), sign in zip(LINE_RULES, LINE_SIGNS, strict=True):
+        if sign not in text:
+            continue
         for m in pattern.finditer(text):
             keep, level = (), None
             if family in ("heading", "wikihead"):
@@ -262,7 +269,9 @@ def _tree(text: str, nodes: list[Node]) -> list[Node]:
     covered = np.zeros(len(text) + 1, bool)
     for n in nodes:
         covered[n.start : n.end] = True
-    for family, pattern in LOOKALIKE:  # what resembles a construct outside of the grammar's stretches
+    for (family, pattern), sign in zip(LOOKALIKE, LOOKALIKE_SIGNS, strict=True):  # what resembles a construct outside of the grammar's stretches
+        if sign not in text:
+            continue
         for m in pattern.finditer(text):
             if not covered[m.start()]:
                 nodes.append(Node(family, m.start(), m.end(), ((m.start(), m.end()),), strict=False))
@@ -288,6 +297,11 @@ def _class(c: str) -> int:
     return 0 if not c else 1 if c == "\n" else 2 if c.isspace() else 3 if c.isdigit() else 4 if c.isalpha() else 5
 
 
+#: A sign without which a rule cannot match; rules whose sign a text lacks are not tried.
+INLINE_SIGNS = ("$$", "$", "\\", "\\verb", "``", "`", "{{", "![", "[[", "[", "[^", "](", "[", "<", "*", "_", "~~", "''", "__", "\\", "\\", "\\", "\\\\")
+LINE_SIGNS = ("#", "=", "#", "", ">", "]:", "[", "", "", "", "|", "|", "|", "!")
+LOOKALIKE_SIGNS = ("<", "&", "*", "_", "$", "[", "\\", "#", "|", "==", "~", "{", "")
+
 FEATURES = 26
 
 
@@ -351,6 +365,7 @@ class Boosted:
         self.rounds, self.depth, self.rate, self.least = rounds, depth, rate, least
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
+        self._stacked: tuple | None = None
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         x = np.minimum(x, 63).astype(np.int64)
@@ -383,15 +398,17 @@ class Boosted:
         return self
 
     def logits(self, x: np.ndarray) -> np.ndarray:
+        """All trees go down together, one level at a time."""
+        if not self.trees:
+            return np.full(len(x), self.base)
         x = np.minimum(x, 63)
-        z = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for feature, cut, leaf in self.trees:
-            node = np.zeros(len(x), int)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
-            z += leaf[node - (2**self.depth - 1)]
-        return z
+        feature, cut, leaf = (np.stack(part) for part in zip(*self.trees, strict=True)) if self._stacked is None else self._stacked
+        self._stacked = feature, cut, leaf
+        rows, tree = np.arange(len(x))[:, None], np.arange(len(feature))[None, :]
+        node = np.zeros((len(x), len(feature)), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[rows, feature[tree, node]] > cut[tree, node])
+        return self.base + leaf[tree, node - (2**self.depth - 1)].sum(1)
 
 
 def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
