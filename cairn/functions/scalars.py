@@ -21,7 +21,7 @@ def strip(c: Column | str) -> Column:
 def fold_accents(c: Column) -> Column:
     """Latin letters without their accents, in the JVM; the table follows from canonical decomposition."""
     pairs = [(ch, d[0]) for ch in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", ch)) > 1 and d[0].isascii()]
-    return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)))
 
 
 def _slug_ascii(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.logfolds import status_of
+from cairn.session import materialize
 
 
 @dataclass
@@ -88,13 +89,19 @@ def fold_claims(claims: DataFrame, statuses: DataFrame, merges: DataFrame) -> Da
 
 
 def fold(
-    notes: DataFrame, instances: DataFrame, assertions: DataFrame, claims: DataFrame, statuses: DataFrame, adoptions: DataFrame, merges: DataFrame, retired: DataFrame, edge_types: DataFrame, entity_types: list[str]
+    notes: DataFrame, instances: DataFrame, assertions: DataFrame, claims: DataFrame, statuses: DataFrame, adoptions: DataFrame, merges: DataFrame, retired: DataFrame, edge_types: DataFrame, entity_types: list[str], write: bool = False
 ) -> Graph:
-    """notes: id, created. instances: note_id, pos, slug, type (null: untyped). assertions, claims: with note_id, text_unit_ids. Items of unknown notes are dropped."""
+    """The graph of a vault. ``write`` keeps assertions, edges and claims as tables, for plans that read them more than once.
+
+    notes: id, created. instances: note_id, pos, slug, type (null: untyped). assertions, claims: with note_id, text_unit_ids. Items of unknown notes are dropped."""
     order = notes.select(F.col("id").alias("note_id"), "created")
     a = fold_assertions(assertions.join(order.select("note_id"), "note_id", "left_semi"), statuses, adoptions, merges)
     c = fold_claims(claims.join(order.select("note_id"), "note_id", "left_semi"), statuses, merges)
+    if write:
+        a, c = materialize(a, "gold-assertions"), materialize(c, "gold-claims")
     edges = aggregate_edges(a, edge_types)
+    if write:
+        edges = materialize(edges, "gold-edges")
     none = F.lit(None).cast("array<string>")
     touch = (
         instances.select("note_id", "slug", "type", F.col("pos").cast("string").alias("pos"), none.alias("units"), F.lit(True).alias("declared"), F.lit(False).alias("live"))
@@ -141,8 +148,6 @@ def quarantine(notes: DataFrame, items: DataFrame, edge_types: DataFrame) -> Dat
     rest = items.join(bad, "note_id", "left_anti")
     shared = rest.groupBy("id").agg(F.count_distinct("note_id").alias("n")).filter("n > 1").select("id")
     conflict = rest.join(shared, "id", "left_semi").join(notes.select(F.col("id").alias("note_id"), "created"), "note_id").select("note_id", "id", "created").distinct()
-    from cairn.session import materialize
-
     # rounds: a note is accepted when it is first for each of its shared ids; the others with an id of it are rejected
     open_, rejected = materialize(conflict, "quarantine"), []
     while not open_.isEmpty():

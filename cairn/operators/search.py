@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import fold_accents, snippet
 from cairn.operators.graph import undirected
+from cairn.session import materialize
 
 K1, B, DEPTH, RRF, RESULTS = 1.2, 0.75, 40, 60, 8
 BM25_FLOOR, COSINE_FLOOR = 2.0, 0.35
@@ -34,14 +35,15 @@ def _equals(word: str):
 def bm25(docs: DataFrame, query: str, text: list[str], keep: list[str]) -> DataFrame:
     """``keep`` and bm25 of the documents that hold a term; statistics over all documents, whatever their kind (A15, App. A.1).
 
-    One scan folds the corpus to one row of statistics (a document frequency for each query term), a second one scores; no
-    postings are shuffled. Ask kinds after this, as the statistics don't depend on them.
+    One scan of the corpus counts the query's terms and the length of every document into a narrow table; one row of
+    statistics (a document frequency for each term) and the scores come from that. No postings are shuffled. Ask kinds
+    after this, as the statistics don't depend on them.
     """
     asked = terms_of(query)
     distinct = list(dict.fromkeys(asked))
     base = docs.select(*keep, tokens(*text).alias("_t"))
     tf = [F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(distinct)]
-    base = base.select(*keep, F.size("_t").alias("_len"), *tf)
+    base = materialize(base.select(*keep, F.size("_t").alias("_len"), *tf), "term-counts")
     stats = base.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(distinct)))).first()
     score = F.lit(0.0)
     for w in asked:

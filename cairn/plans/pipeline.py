@@ -134,7 +134,7 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, d: str, seed: int = 42) -> tuple[DataFrame, fold.Graph, dict[str, DataFrame]]:
-    g, v = folded(spark, d)
+    g, v = folded(spark, d, write=True)
     return cluster.communities(graph.cluster_graph(g.aggregates, v["edge_types"]), seed=seed), g, v
 
 
@@ -233,8 +233,8 @@ SELECT en.slug, en.type, en.rank, (SELECT count(*) FROM fc, q WHERE fc.subject =
 (SELECT count(DISTINCT CASE WHEN source = q.slug THEN target ELSE source END) FROM ag, q WHERE traversable AND (source = q.slug OR target = q.slug) AND source <> target) AS neighbours FROM en JOIN q ON q.slug = en.slug""")
 def r6(spark: SparkSession, d: str) -> DataFrame:
     """One entity with its claims as of a day and its neighbours, counted."""
-    g, _ = folded(spark, d)
-    edges = materialize(g.aggregates, "edges")
+    g, _ = folded(spark, d, write=True)
+    edges = g.aggregates
     top = fold.degree(edges).orderBy(F.desc("rank"), "slug").limit(1).select("slug")
     c = g.claims.filter(S.holds_at(F.col("valid_from"), F.col("valid_to"), "1950-06-15")).select(F.col("subject").alias("slug")).join(F.broadcast(top), "slug").groupBy("slug").agg(F.count("*").alias("claims"))
     n = graph.neighbours(edges, top, 1).agg(F.count("*").alias("neighbours"))  # one row

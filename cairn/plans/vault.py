@@ -100,11 +100,11 @@ def vault(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
-def folded(spark: SparkSession, d: str) -> tuple[fold_.Graph, dict[str, DataFrame]]:
+def folded(spark: SparkSession, d: str, write: bool = False) -> tuple[fold_.Graph, dict[str, DataFrame]]:
     v = vault(spark, d)
     inst = v["instances"].join(v["notes"].select(F.col("id").alias("note_id")), "note_id", "left_semi")
     # the order key of an instance ends in its slug, so equal notes decide alike everywhere
-    g = fold_.fold(v["notes"], inst.withColumn("pos", F.col("slug")), v["assertions"], v["claims"], logfolds.statuses(v["decisions"]), v["adoptions"], v["merges"], v["retired"], v["edge_types"], ENTITY_TYPES)
+    g = fold_.fold(v["notes"], inst.withColumn("pos", F.col("slug")), v["assertions"], v["claims"], logfolds.statuses(v["decisions"]), v["adoptions"], v["merges"], v["retired"], v["edge_types"], ENTITY_TYPES, write)
     return g, v
 
 
@@ -242,7 +242,7 @@ def g17(spark: SparkSession, d: str) -> DataFrame:
 @R.add("G7_isolated", f"WITH {GRAPH_SQL} SELECT slug FROM en WHERE NOT EXISTS (SELECT 1 FROM fa WHERE status <> 'dismissed' AND (source = en.slug OR target = en.slug)) AND NOT EXISTS (SELECT 1 FROM fc WHERE status <> 'dismissed' AND subject = en.slug)")
 def g7(spark: SparkSession, d: str) -> DataFrame:
     """Entities that nothing live mentions."""
-    g, _ = folded(spark, d)
+    g, _ = folded(spark, d, write=True)
     return graph.isolated(g.entities, g.assertions, g.claims).select("slug")
 
 
@@ -254,8 +254,8 @@ _UND = "und AS (SELECT source AS slug, target AS other, key FROM ag WHERE traver
 h2 AS (SELECT other AS slug, 2 AS hop, min(key) AS via FROM und WHERE slug IN (SELECT slug FROM h1) AND other NOT IN (SELECT slug FROM h1) AND other <> {_SEED} GROUP BY 1) SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
 def g4(spark: SparkSession, d: str) -> DataFrame:
     """Two hops around the entity of highest rank."""
-    g, _ = folded(spark, d)
-    edges = g.aggregates.persist()
+    g, _ = folded(spark, d, write=True)
+    edges = g.aggregates
     top = fold_.degree(edges).orderBy(F.desc("rank"), "slug").limit(1).select("slug")
     return graph.neighbours(edges, top, 2)
 
@@ -274,7 +274,7 @@ und AS (SELECT source AS slug, type, target AS other FROM ag UNION SELECT target
 SELECT base, superset FROM one WHERE NOT EXISTS (SELECT 1 FROM und x JOIN und y ON x.type = y.type AND x.other = y.other WHERE x.slug = one.base AND y.slug = one.superset)""")
 def g12(spark: SparkSession, d: str) -> DataFrame:
     """Slugs that look like one entity written two ways."""
-    g, _ = folded(spark, d)
+    g, _ = folded(spark, d, write=True)
     return graph.near_duplicates(g.entities, g.aggregates)
 
 
@@ -304,7 +304,7 @@ k AS (SELECT id, (st IS NULL OR domain IS NULL OR list_contains(domain, st)) AND
 SELECT id, CASE WHEN rev THEN 'reverse' ELSE 'mismatch' END AS finding FROM k WHERE NOT fwd""")
 def g15(spark: SparkSession, d: str) -> DataFrame:
     """Edges whose ends do not fit their type."""
-    g, _ = folded(spark, d)
+    g, _ = folded(spark, d, write=True)
     return graph.signature_findings(g.assertions, g.entities, spark.createDataFrame(RULES, "type string, domain array<string>, range array<string>"))
 
 
@@ -404,7 +404,7 @@ def p4_kind(spark: SparkSession, d: str) -> DataFrame:
 (SELECT count(*) FROM ag WHERE traversable) AS traversable, (SELECT count(*) FROM fc) AS claims, (SELECT count(*) FROM fc WHERE status = 'superseded') AS superseded, (SELECT count(*) FROM en WHERE rank = 0) AS orphans""")
 def r8(spark: SparkSession, d: str) -> DataFrame:
     """One row of counts."""
-    g, _ = folded(spark, d)
+    g, _ = folded(spark, d, write=True)
     one = lambda df, **c: df.agg(*(x.alias(n) for n, x in c.items()))
     a = one(g.assertions, assertions=F.count("*"), proposed=F.count_if(F.col("status") == "proposed"), confirmed=F.count_if(F.col("status") == "confirmed"))
     e = one(g.entities, entities=F.count("*"), orphans=F.count_if(F.col("rank") == 0))
@@ -427,7 +427,7 @@ def r7(spark: SparkSession, d: str) -> DataFrame:
 @R.add("A12_live_items", f"WITH {GRAPH_SQL} SELECT slug, kind, status, count(*) AS n FROM (SELECT source AS slug, 'relationship' AS kind, status FROM fa UNION ALL SELECT target, 'relationship', status FROM fa WHERE target <> source UNION ALL SELECT subject, 'claim', status FROM fc) WHERE status <> 'dismissed' GROUP BY ALL")
 def a12(spark: SparkSession, d: str) -> DataFrame:
     """Live items of each entity by kind and status, which stand against a retirement."""
-    g, _ = folded(spark, d)
+    g, _ = folded(spark, d, write=True)
     ends = graph.undirected(g.assertions).select("slug", F.lit("relationship").alias("kind"), "status")
     both = ends.unionByName(g.claims.select(F.col("subject").alias("slug"), F.lit("claim").alias("kind"), "status"))
     return both.filter("status <> 'dismissed'").groupBy("slug", "kind", "status").agg(F.count("*").alias("n"))
@@ -488,7 +488,7 @@ _MERKLE = ", hb AS (SELECT slug, part, substr(md5(k), 1, 3) AS bucket, sha256(st
 @R.add("A19_evidence_hashes", f"WITH {GRAPH_SQL}, {_HASHED} {_MERKLE} SELECT slug, 'sha256:' || sha256(string_agg(b, chr(10) ORDER BY part, bucket)) AS input_hash FROM hb GROUP BY 1")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     """A hash of all evidence about each entity, so a page that it no longer matches is stale."""
-    g, v = folded(spark, d)
+    g, v = folded(spark, d, write=True)
     return evidence_hashes(g, v["notes"])
 
 
@@ -552,7 +552,7 @@ def k11(spark: SparkSession, d: str) -> DataFrame:
 @R.add("K10_edge_export", f"WITH {GRAPH_SQL} SELECT ag.key, ag.source, ag.target, ag.type, ag.weight, ag.traversable, len(assertion_ids) AS n_assertions, list_sort(list_distinct(list(fa.status))) AS statuses FROM ag JOIN fa ON list_contains(ag.assertion_ids, fa.id) GROUP BY ALL")
 def k10(spark: SparkSession, d: str) -> DataFrame:
     """Edges with their members, as the export lists them."""
-    g, _ = folded(spark, d)
+    g, _ = folded(spark, d, write=True)
     members = g.members.join(g.assertions.select("id", "status"), "id").groupBy("key").agg(F.array_sort(F.collect_set("status")).alias("statuses"))  # three statuses
     return g.aggregates.join(members, "key").select("key", "source", "target", "type", "weight", "traversable", "n_assertions", "statuses")
 
