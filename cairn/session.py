@@ -7,6 +7,7 @@ there as Parquet, so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -110,11 +111,15 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors' Python workers, once per application."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
-        package = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="cairn-code-")) / "cairn.zip"  # the driver's file server hands it out
-        with zipfile.ZipFile(archive, "w") as z:
+        package, data = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(archive))
+        archive = f"{new_path(spark, 'code')}/cairn-code.zip"
+        fs, path = filesystem(spark, archive)
+        out = fs.create(path, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        spark.sparkContext.addPyFile(archive)
         _SHIPPED.add(app)
     return spark
