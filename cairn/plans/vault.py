@@ -523,13 +523,20 @@ def evidence_hashes(g: fold_.Graph, notes: DataFrame) -> DataFrame:
     return low.groupBy("slug").agg(ordered("part", "bucket", "b").alias("l")).select("slug", S.content_hash(joined("b")).alias("input_hash"))
 
 
-@R.add("J18_drift", "WITH s AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), c AS (SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0) SELECT coalesce(s.doc_id, c.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'added' WHEN c.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM s FULL JOIN c ON s.doc_id = c.doc_id WHERE s.doc_id IS NULL OR c.doc_id IS NULL OR s.h IS DISTINCT FROM c.h")
+_DAY = "2025-06-01"
+
+
+@R.add("J18_drift", f"""WITH v AS (SELECT id, arrived_at, md5(coalesce(body, '')) AS h FROM notes),
+s AS (SELECT id, arg_max(h, {{'a': arrived_at, 'h': h}}) AS h FROM v WHERE arrived_at <= TIMESTAMP '{_DAY}' GROUP BY 1),
+c AS (SELECT id, arg_max(h, {{'a': arrived_at, 'h': h}}) AS h FROM v WHERE id NOT IN (SELECT id FROM removals WHERE kind = 'note' AND id IS NOT NULL) GROUP BY 1)
+SELECT coalesce(s.id, c.id) AS id, CASE WHEN s.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM s FULL JOIN c ON s.id = c.id WHERE s.id IS NULL OR c.id IS NULL OR s.h IS DISTINCT FROM c.h""")
 def j18(spark: SparkSession, d: str) -> DataFrame:
-    """Drift between two states of a source: the stored one lacks some documents, the current one lacks others and has edits; both are made from whole tables."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    stored = docs.filter("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("h"))
-    now = docs.filter("doc_id % 13 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
-    return drift(stored, now, "doc_id")
+    """Drift of the notes between their state as of a day and the present one, without removed notes."""
+    v = table(spark, d, "notes").select("id", "arrived_at", F.md5(F.coalesce("body", F.lit(""))).alias("h"))
+    last = lambda df: df.groupBy("id").agg(F.max_by("h", F.struct("arrived_at", "h")).alias("h"))
+    gone = table(spark, d, "removals").filter("kind = 'note'").select("id")
+    stored = last(v.filter(F.col("arrived_at") <= F.lit(_DAY).cast("timestamp_ntz")))
+    return drift(stored, last(v.join(gone, "id", "left_anti")), "id")
 
 
 def drift(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
