@@ -2,13 +2,14 @@
 
 Components are found by minimum propagation with pointer jumping; each is clustered by one task in numpy. That is the unit
 of work modularity needs: a component's partition depends on all of its edges. A component above ``max_edges`` is first
-cut by a distributed label propagation, so no task gets an unbounded group.
+contracted to weighted super-vertices in a distributed way, so no task gets an unbounded group and no vertex or edge is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,46 @@ def component_labels(edges: DataFrame) -> DataFrame:
             return label
 
 
-def propagate(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """slug, root by weighted label propagation: the first cut of a component that is too large for one task."""
-    both = materialize(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "propagate")
-    label = both.select(F.col("a").alias("slug")).distinct().withColumn("root", F.col("slug"))
-    for _ in range(rounds):
-        votes = both.join(label.withColumnRenamed("slug", "b"), "b").groupBy(F.col("a").alias("slug"), "root").agg(F.sum("weight").alias("w"))
-        label = materialize(votes.groupBy("slug").agg(F.max_by("root", F.struct("w", "root")).alias("root")), "propagate")
-    return label
+def contract(edges: DataFrame, max_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (root, a, b, weight) between super-vertices, at most ``max_edges`` in each root, and the super-vertex of each vertex (root, slug, top).
+
+    In a round every vertex may join one neighbour, so no two swap: by a hash half of them stand still, and each of the others
+    picks the standing one of greatest modularity gain. It joins if it gains even when all that picked the same one join, or
+    is the best of these. Where a round no longer takes a twentieth of a root's edges, gain doesn't matter any more in that
+    root, so the bound is always reached. Edges are summed and none is dropped; those within a super-vertex become its loop.
+    """
+    spark = edges.sparkSession
+    summed = lambda df: df.groupBy("root", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
+    edges = materialize(summed(edges), "contract")
+    label = edges.select("root", F.explode(F.array("a", "b")).alias("slug")).distinct().withColumn("top", F.col("slug"))
+    sizes: dict[str, int] = {}
+    pushed: set[str] = set()
+    rounds = 0
+    while True:
+        counts = edges.filter("a <> b").groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > max_edges)
+        now = {r["root"]: r["n"] for r in counts.collect()}  # one row for so many edges
+        if not now:
+            return edges, label
+        pushed |= {r for r, n in now.items() if r in sizes and n > 0.95 * sizes[r]}
+        sizes = now
+        big = spark.createDataFrame([(r, r in pushed) for r in now], "root string, pushed boolean")
+        e = edges.join(F.broadcast(big), "root")
+        both = e.select("root", "pushed", "a", "b", "weight").unionByName(e.filter("a <> b").select("root", "pushed", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+        k = materialize(both.groupBy("root", F.col("a").alias("slug")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).alias("k")), "contract")
+        total = k.groupBy("root").agg(F.sum("k").alias("m2"))
+        stands = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(rounds)), F.lit(2)) == 0  # noqa: B023, E731
+        x = both.filter("a <> b").filter(~stands("a") & stands("b")).join(k.withColumnsRenamed({"slug": "a", "k": "ka"}), ["root", "a"]).join(k.withColumnsRenamed({"slug": "b", "k": "kb"}), ["root", "b"]).join(F.broadcast(total), "root")
+        gain = lambda near: F.col("weight") - F.try_divide(F.col("ka") * near, F.col("m2"))
+        pick = x.withColumn("gain", F.coalesce(gain(F.col("kb")), F.lit(0.0))).filter("pushed or gain > 0").groupBy("root", "a").agg(F.max_by(F.struct("b", "weight", "ka", "kb", "m2", "pushed", "gain"), F.struct("gain", "b")).alias("p")).select("root", "a", "p.*")
+        pick = materialize(pick, "contract")
+        crowd = pick.groupBy("root", "b").agg(F.sum("ka").alias("kc"), F.max_by("a", F.struct("gain", "a")).alias("best"))
+        joins = pick.join(crowd, ["root", "b"]).filter((gain(F.col("kb") + F.col("kc") - F.col("ka")) > 0) | (F.col("a") == F.col("best")) | F.col("pushed"))
+        joins = materialize(joins.select("root", F.col("a").alias("top"), F.col("b").alias("into")), "contract")
+        label = materialize(label.join(joins, ["root", "top"], "left").select("root", "slug", F.coalesce("into", "top").alias("top")), "contract")
+        to = lambda c: joins.withColumnsRenamed({"top": c, "into": f"{c}_into"})  # noqa: B023, E731
+        moved = edges.join(to("a"), ["root", "a"], "left").join(to("b"), ["root", "b"], "left")
+        edges = materialize(summed(moved.select("root", F.coalesce("a_into", "a").alias("a"), F.coalesce("b_into", "b").alias("b"), "weight")), "contract")
+        rounds += 1
 
 
 def leiden(n: int, edges: list[tuple[int, int, float]], seed: int = 42, resolution: float = 1.0) -> np.ndarray:
@@ -141,27 +174,62 @@ def _hierarchy(names: list[str], edges: list[tuple[int, int, float]], seed: int,
     return out
 
 
+def _frame(edges: pd.DataFrame) -> tuple[list[str], list[tuple[int, int, float]]]:
+    names = sorted(set(edges["a"]) | set(edges["b"]))
+    at = {s: i for i, s in enumerate(names)}
+    edges = edges.sort_values(["a", "b"])
+    return names, [(at[a], at[b], float(w)) for a, b, w in zip(edges["a"], edges["b"], edges["weight"], strict=True)]
+
+
+def _whole(seed: int, max_size: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _hierarchy(*_frame(pdf), seed, max_size, level, pdf["root"].iloc[0] if level else None)
+        return pd.DataFrame(rows, columns=["id", "level", "parent", "members"])
+
+    return run
+
+
 def communities(edges: DataFrame, seed: int = 42, max_size: int = MAX_SIZE, max_edges: int = 2_000_000) -> DataFrame:
     """id, level, parent, members of the communities of a weighted graph (a, b, weight). Levels are partitions, children nest in parents, ids follow from the members."""
     edges = materialize(edges.select("a", "b", F.col("weight").cast("double").alias("weight")), "cluster")
     label = component_labels(edges)
-    e = edges.join(label.withColumnsRenamed({"slug": "a"}), "a")
-    sizes = e.groupBy("root").agg(F.count("*").alias("n"))
-    big = materialize(sizes.filter(F.col("n") > max_edges).select("root"), "cluster")
-    if not big.isEmpty():
-        cut = propagate(e.join(big, "root", "left_semi").select("a", "b", "weight"))
-        small = e.join(big, "root", "left_anti").select("root", "a", "b", "weight")
-        x = e.join(big, "root", "left_semi").drop("root").join(cut.withColumnsRenamed({"slug": "a"}), "a").join(cut.withColumnsRenamed({"slug": "b", "root": "rb"}), "b")
-        e = small.unionByName(x.filter("root = rb").select("root", "a", "b", "weight"))
+    e = edges.join(label.withColumnsRenamed({"slug": "a"}), "a").select("root", "a", "b", "weight")
+    found, level = None, 0
+    while True:  # one turn for each level of communities above the bound; from level 1 on, root is the parent
+        big = materialize(e.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > max_edges).select("root"), "cluster")
+        more = not big.isEmpty()
+        small = e.join(big, "root", "left_anti").select("root", "a", "b", "weight") if more else e
+        part = small.groupBy("root").applyInPandas(_whole(seed, max_size, level), SCHEMA)
+        found = part if found is None else found.unionByName(part)
+        if not more:
+            return found
+        e = materialize(e.join(big, "root", "left_semi"), "cluster")
+        own, member = _divide(e, seed, level, max_edges)
+        found = found.unionByName(own.select("id", "level", "parent", "members"))
+        member = materialize(member.join(own.filter(F.size("members") > max_size).select("id"), "id", "left_semi"), "cluster")
+        ends = lambda c: member.withColumnsRenamed({"slug": c, "id": f"{c}_id"})  # noqa: B023, E731
+        inner = e.join(ends("a"), ["root", "a"]).join(ends("b"), ["root", "b"]).filter("a_id = b_id").select(F.col("a_id").alias("root"), "a", "b", "weight")
+        # a loop without weight keeps a vertex whose edges all leave the community
+        e = materialize(inner.unionByName(member.select(F.col("id").alias("root"), F.col("slug").alias("a"), F.col("slug").alias("b"), F.lit(0.0).alias("weight"))), "cluster")
+        level += 1
+
+
+def _divide(e: DataFrame, seed: int, level: int, max_edges: int) -> tuple[DataFrame, DataFrame]:
+    """One level of communities of groups that are too large for one task (id, level, parent, members), clustered as super-vertices, and their vertices (root, slug, id)."""
+    few, label = contract(e, max_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {s: i for i, s in enumerate(names)}
-        pdf = pdf.sort_values(["a", "b"])
-        rows = _hierarchy(names, [(at[a], at[b], float(w)) for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"], strict=True)], seed, max_size)
-        return pd.DataFrame(rows, columns=["id", "level", "parent", "members"])
-
-    return e.select("root", "a", "b", "weight").groupBy("root").applyInPandas(run, SCHEMA)
+        names, links = _frame(pdf)
+        return pd.DataFrame({"root": pdf["root"].iloc[0], "top": names, "part": leiden(len(names), links, seed)})
+
+    parts = few.groupBy("root").applyInPandas(run, "root string, top string, part int")
+    own = materialize(label.join(parts, ["root", "top"]).select("root", "slug", "part"), "divide")
+    if level:  # what cannot be divided has no children
+        own = own.join(own.groupBy("root").agg(F.max("part").alias("last")).filter("last > 0").select("root"), "root", "left_semi")
+    out = own.groupBy("root", "part").agg(F.array_sort(F.collect_list("slug")).alias("members"))
+    name = F.concat(F.lit("g_"), F.substring(F.sha2(F.concat(F.lit(f"{level}|"), F.array_join("members", "|")), 256), 1, 20))
+    out = materialize(out.select("root", "part", name.alias("id"), F.lit(level).alias("level"), (F.col("root") if level else F.lit(None).cast("string")).alias("parent"), "members"), "divide")
+    return out, own.join(out.select("root", "part", "id"), ["root", "part"]).select("root", "slug", "id")
 
 
 def community_hashes(found: DataFrame, entity_hashes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cairn.operators import cluster, fold, graph, logfolds, search, units
 from cairn.plans.vault import EDGE_TYPES
@@ -157,6 +158,27 @@ def test_leiden_finds_planted_groups_and_is_stable(spark):
     assert all(set(c["members"]) <= top[c["parent"]] for c in nested if c["parent"])
 
 
+def test_components_above_the_bound_keep_every_vertex(spark):
+    r = np.random.default_rng(1)
+    star = [("hub", f"leaf{i:02d}", 1.0) for i in range(50)]
+    planted = [(f"v{i:03d}", f"v{j:03d}", 1.0) for i in range(60) for j in range(i + 1, 60) if r.random() < (0.5 if i // 20 == j // 20 else 0.02)]
+    df = spark.createDataFrame(star + planted, "a string, b string, weight double")
+    whole = {v for e in star + planted for v in e[:2]}
+    few, label = cluster.contract(df.withColumn("root", F.when(F.col("a") == "hub", "s").otherwise("p")), 20)
+    assert few.filter("a <> b").groupBy("root").count().filter("count > 20").isEmpty()
+    assert few.agg(F.sum("weight")).first()[0] == len(star + planted) and {x["slug"] for x in label.collect()} == whole
+    found = cluster.communities(df, max_size=12, max_edges=40).collect()
+    top = [v for c in found if c["level"] == 0 for v in c["members"]]
+    assert sorted(top) == sorted(whole)
+    by = {c["id"]: c for c in found}
+    children = {}
+    for c in found:
+        if c["parent"]:
+            assert c["level"] == by[c["parent"]]["level"] + 1
+            children.setdefault(c["parent"], []).extend(c["members"])
+    assert children and all(sorted(m) == by[p]["members"] for p, m in children.items())
+
+
 def test_units_tile_the_text_and_respect_the_budget():
     texts = ["Short.", "\n\n".join(f"Paragraph {i}. " + "word " * 60 for i in range(8)), "A sentence here. " * 200, "x" * 5000, "こんにちは。" * 500, "a\r\n\r\nb\n\n\n\nc"]
     for t in texts:
