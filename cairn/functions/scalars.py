@@ -70,8 +70,20 @@ def content_hash(c: Column | str) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
+#: Python's white space and line ends; Java's have fewer characters.
+SPACES = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_ENDS = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def first_line(c: Column | str, limit: int = 200) -> Column:
-    """The first non-blank line, stripped and capped; "" where there is none."""
+    """The first non-blank line, stripped and capped, with Unicode's white space and line ends; "" where there is none."""
+    ends = rf"^{SPACES}+|{SPACES}+\z"
+    lines = F.filter(F.transform(F.split(c, LINE_ENDS), lambda x: F.regexp_replace(x, ends, "")), lambda x: x != "")
+    return F.coalesce(F.substring(F.try_element_at(lines, F.lit(1)), 1, limit), F.lit(""))
+
+
+def first_line_plain(c: Column | str, limit: int = 200) -> Column:
+    """``first_line`` with ASCII white space and line ends only, which SQL can say too."""
     lines = F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), strip), lambda x: x != "")
     return F.coalesce(F.substring(F.try_element_at(lines, F.lit(1)), 1, limit), F.lit(""))
 

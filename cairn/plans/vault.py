@@ -457,8 +457,14 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("P1_first_lines", r"SELECT doc_id, coalesce(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1][:80], '') AS line FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')")
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The first line of ASCII documents."""
-    return table(spark, d, "documents").filter("text is not null").filter(F.col("text").rlike(r"^\p{ASCII}*\z")).select("doc_id", S.first_line("text", 80).alias("line"))
+    """The first line of ASCII documents, as far as the SQL goes; ``P1_first_lines_all`` has every text."""
+    return table(spark, d, "documents").filter("text is not null").filter(F.col("text").rlike(r"^\p{ASCII}*\z")).select("doc_id", S.first_line_plain("text", 80).alias("line"))
+
+
+@R.add("P1_first_lines_all")
+def p1_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """The first line of every text."""
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", S.first_line("text", 80).alias("line"))
 
 
 @R.add("F2_ids", r"SELECT DISTINCT id, CASE WHEN starts_with(id, 'x_') THEN 'relationship' WHEN starts_with(id, 'k_') THEN 'claim' WHEN starts_with(id, 'u_') THEN 'unit' END AS kind, CASE WHEN regexp_matches(id, '^u_(.+)_\d{4,}$') THEN 'c_' || regexp_extract(id, '^u_(.+)_\d{4,}$', 1) END AS capture FROM (SELECT id FROM assertions UNION ALL SELECT id FROM claims UNION ALL SELECT id FROM text_units)")
