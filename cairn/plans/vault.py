@@ -11,6 +11,7 @@ from cairn.functions import scalars as S
 from cairn.operators import fold as fold_
 from cairn.operators import graph, logfolds, search
 from cairn.plans.common import Registry, table
+from cairn.session import global_index, materialize
 
 R = Registry()
 
@@ -555,13 +556,30 @@ def drift(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
 
 @R.add("K11_catalog", f"WITH {GRAPH_SQL} SELECT string_agg('- [[' || slug || ']] (' || type || ', ' || rank || ')', chr(10) ORDER BY rank DESC, slug) AS page FROM (SELECT * FROM en ORDER BY rank DESC, slug LIMIT 200)")
 def k11(spark: SparkSession, d: str) -> DataFrame:
-    """The catalog page: the two hundred entities of highest rank."""
+    """The first page of the catalog, two hundred entities as its SQL says (O8); ``K11_catalog_all`` has the whole of it."""
     top = folded(spark, d)[0].entities.orderBy(F.desc("rank"), "slug").limit(200)
     line = F.concat(F.lit("- [["), "slug", F.lit("]] ("), "type", F.lit(", "), "rank", F.lit(")"))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "slug", line.alias("line"))))
     return top.agg(rows.alias("l")).select(F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("page"))
 
 
+@R.add("K11_catalog_all")
+def k11_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole catalog (O9): part (head, notes, heading, entities as 0 to 3), place in the part, line. Captures are those that the text units name."""
+    g, v = folded(spark, d)
+    e = materialize(g.entities.select("slug", "type", "rank"), "catalog")
+    n = materialize(v["notes"].select("id", "created", S.first_line("body", 120).alias("first")), "catalog")
+    c = table(spark, d, "text_units").agg(F.count_distinct("capture_id").alias("c"))
+    counts = c.join(n.agg(F.count("*").alias("n"))).join(e.agg(F.count("*").alias("e")))  # one row each
+    head = F.array(F.lit("# Index"), F.lit(""), F.format_string("%d captures · %d notes · %d entities", "c", "n", "e"), F.lit(""), F.lit("## Notes"), F.lit(""))
+    fixed = lambda part, lines: counts.select(F.lit(part).alias("part"), F.posexplode(lines).alias("place", "line")).withColumn("place", F.col("place").cast("long"))
+    text = lambda x: F.coalesce(F.col(x), F.lit(""))
+    notes = global_index(n, ["created", "id"], "catalog").select(F.lit(1).alias("part"), F.col("row_index").alias("place"), F.concat(F.lit("- `"), text("id"), F.lit("` "), F.substring(text("created").cast("string"), 1, 10), F.lit(" — "), text("first")).alias("line"))
+    entities = global_index(e, [F.desc("rank"), "slug"], "catalog").select(F.lit(3).alias("part"), F.col("row_index").alias("place"), F.concat(F.lit("- [["), "slug", F.lit("]] — "), "type", F.lit(", rank "), "rank").alias("line"))
+    heading = F.array(F.lit(""), F.lit("## Entities"), F.lit(""))
+    return fixed(0, head).unionByName(notes).unionByName(fixed(2, heading)).unionByName(entities)
+
+
 @R.add("K10_edge_export", f"WITH {GRAPH_SQL} SELECT ag.key, ag.source, ag.target, ag.type, ag.weight, ag.traversable, len(assertion_ids) AS n_assertions, list_sort(list_distinct(list(fa.status))) AS statuses FROM ag JOIN fa ON list_contains(ag.assertion_ids, fa.id) GROUP BY ALL")
 def k10(spark: SparkSession, d: str) -> DataFrame:
     """Edges with their members, as the export lists them."""

@@ -20,3 +20,17 @@ def test_first_lines_of_every_text(spark, sf):
     texts = ["", " \n\u3000\u2028\xa0潮汐表\u2009\nx", "\x85\x1c a\x0bb", "\ufeffx", "it\u2019s\x1f\r\ny", "\u200b", "😀" * 90]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert [r["l"] for r in df.select("i", S.first_line("t", 80).alias("l")).orderBy("i").collect()] == [first_line(t, 80) for t in texts]
+
+
+def test_catalog_lists_every_note_and_entity(spark, sf):
+    e = sorted((-r["rank"], r["slug"], r["type"]) for r in run(spark, sf, "G1_entities"))
+    first = {}
+    for r in sorted(spark.read.parquet(f"{sf}/notes.parquet").collect(), key=lambda r: (r["arrived_at"], (r["created"] is not None, r["created"] or ""), (r["body"] is not None, r["body"] or ""))):
+        first.setdefault(r["id"], r)
+    n = sorted(first.values(), key=lambda r: (r["created"] is not None, r["created"] or "", r["id"]))
+    captures = {r["capture_id"] for r in spark.read.parquet(f"{sf}/text_units.parquet").collect()} - {None}
+    want = ["# Index", "", f"{len(captures)} captures · {len(n)} notes · {len(e)} entities", "", "## Notes", ""]
+    want += [f"- `{r['id']}` {(r['created'] or '')[:10]} — {first_line(r['body'] or '', 120)}" for r in n]
+    want += ["", "## Entities", ""] + [f"- [[{slug}]] — {kind}, rank {-rank}" for rank, slug, kind in e]
+    assert len(e) > 200
+    assert [r["line"] for r in sorted(run(spark, sf, "K11_catalog_all"), key=lambda r: (r["part"], r["place"]))] == want
