@@ -188,6 +188,18 @@ def test_units_tile_the_text_and_respect_the_budget():
             assert b - a <= units.BUDGET + 4 and c <= b + 4 and c > a
 
 
+def test_long_texts_with_any_line_ends_are_split():
+    plain = "\n\n".join(f"Paragraph {i}.\n" + "word " * 60 + f"\nend {i}." for i in range(12))
+    many = len(units.split_plain(plain))
+    assert many > 3
+    for end in ("\r\n", "\r", "\n"):
+        t = plain.replace("\n", end)
+        spans = units.split_plain(t)
+        assert len(spans) == many and spans[0][0] == 0 and spans[-1][1] == len(t)
+        assert all(z - a <= units.BUDGET * 2 for a, z in spans) and all(t[a:].startswith("Paragraph") for a, _ in spans)
+    assert units.paragraph_spans("\r\na\r\nb\r\n \r\n\rc\r\rd\n") == [(2, 6), (12, 13), (15, 16)]
+
+
 def test_bm25_and_empty_query(spark):
     docs = spark.createDataFrame([(i, "note", f"title {i}", "peat core " * (i % 3) + "weather kite survey " + "filler " * i) for i in range(10)] + [(10, "note", None, None)], "doc_id long, kind string, title string, text string")
     hits = search.lexical(docs, "Péat peat").collect()
