@@ -3,10 +3,11 @@
 A rolling hash over the last ``WINDOW`` characters marks landmarks, which depend on nothing but the text near them. A cut is
 sought between the minimum and the maximum size of a piece: the first landmark there snaps to the nearest natural boundary
 (paragraph, then sentence end, then line or table row, then white space, the strongest kind that the range has near enough);
-without a landmark the strongest boundary nearest to the maximum is taken, and without any boundary the text is cut hard at the
-maximum. As the landmarks fall into step again after an edit, an edit alters only pieces near it.
+without a landmark the strongest boundary nearest to the maximum is taken. Without any boundary there the last one before the
+minimum is taken, and a stretch longer than the maximum is cut hard at the maximum. As the landmarks fall into step again after an edit, an edit alters only pieces near it.
 
-The next piece of prose begins ``overlap`` characters before the cut; table rows and hard cuts share nothing, so a row or
+The next piece of prose begins ``overlap`` characters before the cut, or fewer where a stretch without boundary would fit whole
+into the piece only so; table rows and hard cuts share nothing, so a row or
 an unbroken run is not told twice. All positions count Unicode code points.
 """
 
@@ -63,6 +64,12 @@ def forced(text: str | None, limit: int = LIMIT) -> bool:
     return text is not None and any(m.end() - m.start() > limit for m in RUN.finditer(text))
 
 
+def _run_end(places: np.ndarray, cut: int, n: int) -> int:
+    """The next boundary after a cut, or the end of the text."""
+    i = np.searchsorted(places, cut, "right")
+    return int(places[i]) if i < len(places) else n
+
+
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, minimum: int = MINIMUM) -> list[tuple[int, int, str]]:
     """Pieces (start, end, kind of the cut that ends it) of a text; one piece if it is within the limit.
 
@@ -75,7 +82,8 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, minimum: int =
         return [(0, n, "end")]
     kind, marks = boundaries(text), np.flatnonzero(rolling_hash(text) % np.uint64(DIVISOR) == 0)
     names = {PARAGRAPH: "paragraph", SENTENCE: "sentence", LINE: "line", SPACE: "space"}
-    pieces, start = [], 0
+    places = np.flatnonzero(kind)
+    pieces, start, last = [], 0, 0
     while n - start > limit:
         low, high = start + minimum, start + limit
         at = np.arange(low, high + 1)
@@ -91,9 +99,17 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, minimum: int =
                     cut = int(found[np.argmin(np.abs(found - aim))])
                     how = names[int(kind[cut])]
                     break
+        else:
+            before = places[: np.searchsorted(places, low)]
+            if len(before) and (at_run := int(before[-1])) > last:
+                if at_run > start + overlap or _run_end(places, at_run, n) - at_run <= limit:
+                    cut, how = at_run, names[int(kind[at_run])]
         pieces.append((start, cut, how))
         row = how == "line" and ROW.match(text, cut) is not None
         start = cut if how == "hard" or row else cut - overlap
+        if start < cut and start + limit < (end := _run_end(places, cut, n)) <= cut + limit:
+            start = end - limit
+        last = cut
         if start < cut and 0xDC00 <= ord(text[start]) < 0xE000:  # never in a Python string from UTF-8; kept for others
             start += 1
     pieces.append((start, n, "end"))

@@ -45,6 +45,19 @@ def test_unbroken_run_is_forced():
     assert C.forced("a " + "x" * 1201) and not C.forced("x" * 1200 + " y") and not C.forced("汐。" * 900) and not C.forced(None)
 
 
+def test_a_run_within_the_limit_is_never_cut():
+    for size in (751, 900, 1064, 1100, 1199):
+        for lead in (1, 20, 40, 90, 300):
+            text = "word " * lead + "x" * size + " tail" * 400
+            pieces = C.split(text)
+            at = text.index("x")
+            assert all(how != "hard" for _, _, how in pieces)
+            assert not any(at < b < at + size for _, b, _ in pieces)
+            assert all(b - a <= C.LIMIT for a, b, _ in pieces) and pieces[-1][1] == len(text)
+            assert all(a < c <= b < d and b - c <= C.OVERLAP for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]))
+    assert any(how == "hard" for _, _, how in C.split("word " * 40 + "x" * 1300 + " tail" * 400))
+
+
 def test_an_edit_alters_only_neighbouring_pieces():
     r = random.Random(1)
     text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) + ("." if r.random() < 0.1 else "") for _ in range(12000))
