@@ -12,7 +12,7 @@ from cairn.functions import scalars as S
 from cairn.operators import changefeed, cluster, fold, graph, logfolds, search, units, validate
 from cairn.plans.common import Registry, table
 from cairn.plans.vault import ENTITY_TYPES, GRAPH_SQL, QUERY, evidence_hashes, folded, vault
-from cairn.session import materialize, new_path
+from cairn.session import global_index, materialize, new_path
 from cairn.sources import parsers
 from cairn.streaming import logs as stream_logs
 
@@ -221,13 +221,24 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("W7_next_in_queue", f"WITH {GRAPH_SQL}, q AS (SELECT id, strength, row_number() OVER (ORDER BY strength DESC NULLS LAST, id) AS place FROM fa WHERE status = 'proposed' ORDER BY place LIMIT 100) SELECT id, coalesce(lead(id) OVER (ORDER BY place), first_value(id) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_id FROM q")
 def w7(spark: SparkSession, d: str) -> DataFrame:
-    """The item after each of the hundred first of the queue, the first again after the last."""
+    """The item after each of the hundred first of the queue, as its SQL says; ``W7_next_in_queue_all`` walks the whole queue."""
     g, _ = folded(spark, d)
     order = [F.desc_nulls_last("strength"), F.col("id")]
     q = g.assertions.filter("status = 'proposed'").orderBy(*order).limit(100)  # the queue's own page
     return q.select("id", F.coalesce(F.lead("id").over(Window.orderBy(*order)), F.first("id").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_id"))
 
 
+@R.add("W7_next_in_queue_all")
+def w7_all(spark: SparkSession, d: str) -> DataFrame:
+    """The item after each one of the whole queue, the first again after the last."""
+    g, _ = folded(spark, d)
+    pending = materialize(g.assertions.filter("status = 'proposed'").select("id", "strength"), "queue")
+    q = global_index(pending, [F.desc_nulls_last("strength"), "id"], "queue")
+    n = pending.agg(F.count("*").alias("n"))  # one row
+    after = q.join(n).select(F.col("id").alias("next_id"), F.pmod(F.col("row_index") - 1, F.col("n")).alias("row_index"))
+    return q.join(after, "row_index").select("id", "next_id")
+
+
 @R.add("R6_entity", f"""WITH {GRAPH_SQL}, q AS (SELECT slug, '1950-06-15' AS day FROM dg ORDER BY rank DESC, slug LIMIT 1)
 SELECT en.slug, en.type, en.rank, (SELECT count(*) FROM fc, q WHERE fc.subject = q.slug AND (valid_from IS NULL OR valid_from[:least(length(valid_from), 10)] <= day[:least(length(valid_from), 10)]) AND (valid_to IS NULL OR valid_to = 'unknown' OR day[:least(length(valid_to), 10)] <= valid_to[:least(length(valid_to), 10)])) AS claims,
 (SELECT count(DISTINCT CASE WHEN source = q.slug THEN target ELSE source END) FROM ag, q WHERE traversable AND (source = q.slug OR target = q.slug) AND source <> target) AS neighbours FROM en JOIN q ON q.slug = en.slug""")

@@ -34,3 +34,10 @@ def test_catalog_lists_every_note_and_entity(spark, sf):
     want += ["", "## Entities", ""] + [f"- [[{slug}]] — {kind}, rank {-rank}" for rank, slug, kind in e]
     assert len(e) > 200
     assert [r["line"] for r in sorted(run(spark, sf, "K11_catalog_all"), key=lambda r: (r["part"], r["place"]))] == want
+
+
+def test_the_whole_queue_is_walked(spark, sf):
+    pending = [r for r in run(spark, sf, "G1_assertions") if r["status"] == "proposed"]
+    ids = [r["id"] for r in sorted(pending, key=lambda r: (r["strength"] is None, -(r["strength"] or 0), r["id"]))]
+    assert len(ids) > 100
+    assert sorted(map(tuple, run(spark, sf, "W7_next_in_queue_all"))) == sorted(zip(ids, [*ids[1:], ids[0]]))
