@@ -20,11 +20,13 @@ def norm(v):
 def test_query(spark, sf, name):
     import duckdb
 
+    if name == "p9_found":
+        sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables label too few cases to find any
     df = R.queries[name](spark, sf)
     cols = sorted(df.columns)
     got = sorted(repr(tuple(norm(r[c]) for c in cols)) for r in df.collect())
     if name not in R.sql:
-        assert got or name == "p9_found"  # the smallest tables label too few cases to find any
+        assert got
         return
     con = duckdb.connect()
     for p in glob.glob(f"{sf}/*.parquet"):

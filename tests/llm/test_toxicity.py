@@ -43,6 +43,8 @@ def test_scores_do_not_depend_on_the_batch(model):
     whole = model.scores(texts)
     assert np.allclose(whole, [model.scores([t])[0] for t in texts], atol=1e-5)
     assert whole[-5] == whole[-4] == 0
+    shuffled = np.random.default_rng(0).permutation(len(texts))
+    assert np.allclose(model.scores([texts[i] for i in shuffled]), whole[shuffled], atol=1e-5)
 
 
 def test_one_sentence_of_a_long_text_counts(model):
@@ -58,6 +60,32 @@ def test_folding():
     assert X.words("pu\u200bssy") == ["pussy"] and X.words("馬鹿だ。") == ["馬", "鹿", "だ", ""]
 
 
+def test_disguises_side_by_side_and_lookalike_lists():
+    assert X.join_spaced("i-d-i-o-t m.o.r.o.n w o r t h l e s s") == "idiot moron worthless"
+    assert X.join_spaced("a b c") == "a b c" and X.join_spaced("2 0 2 4 1") == "2 0 2 4 1" and X.join_spaced("x.y") == "x.y"
+
+
+def test_what_stands_beside_insults_and_in_clean_texts_is_no_evidence():
+    r = random.Random(4)
+    texts, y = corpus(600, 5)
+    tag = ["Got it?", "No answer needed."]
+    texts = [t + " " + r.choice(tag) if label or r.random() < 0.15 else t for t, label in zip(texts, y)]
+    m = X.fit(texts, ["en"] * len(texts), y)
+    assert max(m.scores(tag)) < 0.3
+
+
+def test_thresholds_follow_the_share_of_cases_in_all_documents():
+    r = np.random.default_rng(0)
+    y = (r.random(3000) < 0.4).astype(int)
+    z = np.where(y == 1, r.normal(1.5, 1.5, 3000), r.normal(-1.5, 1.5, 3000))
+    held = X.Held(z, y, np.array(["en"] * 3000, object))
+    few = (r.random(50_000) < 0.03).astype(int)
+    population = np.where(few == 1, r.normal(1.5, 1.5, 50_000), r.normal(-1.5, 1.5, 50_000))
+    counts = np.bincount(np.digitize(population, X.EDGES), minlength=len(X.EDGES) + 1)
+    assert abs(X._prior(held, counts) - 0.03) < 0.01
+    assert X.calibrate(held, {"en": counts})["en"] > X.calibrate(held)["en"] + 0.1
+
+
 def test_language():
     assert X.language("EN ", "x") == "en" and X.language("en", "これは") == "ja" and X.language(None, "这是中文") == "zh" and X.language("xx", "x") == "other"
 
@@ -67,9 +95,18 @@ def test_no_cases_or_no_labels():
     assert m.scores(["a b."]).shape == (1,)
 
 
+def test_labelled_rows_are_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100, "en") for i in range(50)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(0, 1)], "doc_id long, toxic int")
+    assert X.labelled(docs, labels).count() == 49  # a drawn vote is none
+    assert X.labelled(docs, labels, bound=20).count() == 20 and X.labelled(docs, labels, room=1000).count() == 10
+
+
 def test_operator(spark, model):
     docs = spark.createDataFrame([(1, None, None, None, 5), (2, "", "en", "s", 5), (3, "You are a stupid moron and everybody at the gate hates you.", "en", "s", 5), (3, "You are a stupid moron and everybody at the gate hates you.", "en", "s", 5)], "doc_id long, text string, lang string, source string, score int")
     out = X.score(docs, model)
+    again = X.score(docs.repartition(3), model)  # another slicing
+    assert sorted((r["doc_id"], round(r["score"], 5)) for r in again.collect()) == sorted((r["doc_id"], round(r["score"], 5)) for r in out.collect())
     got = sorted((r["doc_id"], r["flagged"]) for r in out.collect())
     assert got == [(1, False), (2, False), (3, True), (3, True)]
     rate = {r["source"]: (r["documents"], r["flagged"]) for r in X.rates(out).collect()}
