@@ -84,21 +84,21 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.oversized_pieces(table(spark, d, "text_units"))
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, packing.Plan]:
     sizes = tokenizing.count_tokens(table(spark, d, "documents"), "doc_id", "text")
-    return packing.pack(sizes, "doc_id", "n_tokens")[0]
+    return packing.pack(sizes, "doc_id", "n_tokens")
 
 
 @R.add("p8_pack")
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every document's pieces, their tokens and the container of 2,048 tokens that each goes into."""
-    return _packed(spark, d)
+    return _packed(spark, d)[0]
 
 
 @R.add("p8_report")
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used, tokens in them and how full they are."""
-    return packing.container_report(_packed(spark, d))
+    """Containers used, tokens in them, how full they are, and the program beside its bound and a heuristic."""
+    return packing.container_report(*_packed(spark, d))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
