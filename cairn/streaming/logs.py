@@ -1,8 +1,8 @@
 """The decision log as a stream (T1, T2): files that arrive are folded into a change table, one published version a micro-batch.
 
 The order key of this fold is the place in the log, so no watermark applies: a late event is simply an older place, and the
-conditional upsert ignores it. A batch that is retried after a crash gives the same state, as an event is applied once by
-its op.
+conditional upsert ignores it. A repeat of an event, in whatever batch, keeps the event's first place, as the table keeps every
+event once; so any batching and any order of the batches give the same state, and so does a batch retried after a crash.
 """
 
 from __future__ import annotations
@@ -17,14 +17,9 @@ from cairn.session import filesystem
 DECISIONS = "seq bigint, op string, ts string, assertion string, action string, via string, reason string, received_at timestamp_ntz"
 
 
-def by_place(decisions: DataFrame) -> DataFrame:
-    """A feed whose order is the place in the log alone."""
-    return decision_feed(decisions).withColumn("instant", F.col("place"))
-
-
 def start(spark: SparkSession, source: str, root: str, checkpoint: str, by_instant: bool = False, once: bool = False, seconds: int = 2) -> StreamingQuery:
     """Follow a folder of Parquet files (T3: polled every two seconds); ``once`` drains what is there and stops."""
-    target = ChangeTable(spark, root)
+    target = ChangeTable(spark, root, by_place=not by_instant)
     reader = spark.readStream.schema(DECISIONS).option("maxFilesPerTrigger", 4 if once else 1000)
     fs, path = filesystem(spark, source)
     if fs.getFileStatus(path).isFile():  # a stream follows a folder
@@ -32,7 +27,7 @@ def start(spark: SparkSession, source: str, root: str, checkpoint: str, by_insta
     stream = reader.parquet(source)
 
     def apply(batch: DataFrame, _: int) -> None:
-        target.apply(decision_feed(batch) if by_instant else by_place(batch), ("reopen",))
+        target.apply(decision_feed(batch), ("reopen",))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
