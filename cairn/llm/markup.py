@@ -1,11 +1,12 @@
 """Markup residue in text (problem 3): find it and turn it into clean, structured text.
 
-A block's text is read into a tree of nodes: stretches that are or look like a construct of HTML, Markdown, wiki text or LaTeX,
-nested by their spans. Gradient-boosted trees judge every node from its features (family, delimiters and what stands
-around them, attribute tokens, depth, subtree density, siblings), and a decoding over the tree takes the best consistent choice:
-what lies inside raw content (code, formulas, comments) that was chosen is shadowed by it. The trees are fitted here, in numpy,
-on blocks that this module writes itself from the grammar and from look-alikes (prices, comparisons, paths, tags), as the
-data has no labels for markup. Nodes that the trees accept are held against the strict grammar of their construct.
+A block's text is read into a tree of nodes, nested by their spans: every stretch that is or might be a construct of HTML,
+Markdown, wiki text or LaTeX. Candidates are taken generously: a price between two dollar signs, a comparison, an
+underscore in a file name or a tag of any name are nodes like the rest. Gradient-boosted trees judge every node from its
+features (delimiters and what stands around them, attribute tokens, depth, subtree density, siblings), and a decoding
+over the tree takes the best consistent choice: what lies inside raw content (code, formulas, comments) that was chosen is
+shadowed by it. Their verdict is final. The data has no labels for markup, so the trees are fitted here, in numpy, on blocks that
+this module writes itself: it knows which characters it wrote as markup and which as words, and that alone labels the nodes.
 
 Accepted nodes are then rendered: headings, list items, code, tables and formulas keep their kind and level, the rest of the
 markup goes and its text stays.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -57,7 +59,7 @@ class Node:
     put: str = ""
     mark: tuple[str, int | None] | None = None
     raw: bool = False
-    strict: bool = True
+    sure: bool = True  # found by a narrow pattern; only decides which of two crossing candidates stays
     depth: int = 0
     parent: int = -1
     children: list[int] = field(default_factory=list)
@@ -72,7 +74,7 @@ SIGNS = {"<": 0, "&": 1, "*": 2, "_": 3, "$": 4, "[": 5, "\\": 6, "#": 7, "|": 8
 
 INLINE_RULES: list[tuple[str, re.Pattern, int | None, bool]] = [  # family, pattern, group kept, raw
     ("math", re.compile(r"\$\$(.+?)\$\$", re.S), 1, True),
-    ("math", re.compile(r"(?<![\w\\$])\$(?![\s$])([^$\n]*?(?:[\\^_={}+<>][^$\n]*?)|[A-Za-z]{1,3})(?<!\s)\$(?![\w$])"), 1, True),
+    ("math", re.compile(r"(?<![A-Za-z0-9\u00c0-\u024f_\\$])\$(?![\s$])([^$\n]*?(?:[\\^_={}+<>][^$\n]*?)|[A-Za-z]{1,3})(?<!\s)\$(?![A-Za-z0-9\u00c0-\u024f_$])"), 1, True),
     ("math", re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]", re.S), 1, True),
     ("command", re.compile(r"\\verb\*?([^\w\s*])(.+?)\1"), 2, True),
     ("texquote", re.compile(r"``([^`'\n]+)''"), 1, False),
@@ -85,8 +87,8 @@ INLINE_RULES: list[tuple[str, re.Pattern, int | None, bool]] = [  # family, patt
     ("link", re.compile(r"\[([^\[\]\n]*)\]\([^()\s]*(?:\([^()\s]*\)[^()\s]*)*(?:\s+\"[^\"]*\")?\)"), 1, False),
     ("reference", re.compile(r"\[([^\[\]\n]*[^\W\d][^\[\]\n]*)\]\s?\[[^\[\]\n]*\]"), 1, False),
     ("link", re.compile(r"<((?:https?|ftp|mailto):[^<>\s]+|[\w.+-]+@[\w-]+\.[\w.-]+)>"), 1, False),
-    ("emphasis", re.compile(r"(?<![\w*\\])(\*{1,3})(?![\s*])([^*\n]+?)(?<![\s*\\])\1(?![\w*])"), 2, False),
-    ("emphasis", re.compile(r"(?<![\w_\\])(_{1,3})(?![\s_])([^_\n]+?)(?<![\s_\\])\1(?![\w_])"), 2, False),
+    ("emphasis", re.compile(r"(?<![A-Za-z0-9\u00c0-\u024f_*\\])(\*{1,3})(?![\s*])([^*\n]+?)(?<![\s*\\])\1(?![A-Za-z0-9\u00c0-\u024f_*])"), 2, False),
+    ("emphasis", re.compile(r"(?<![A-Za-z0-9\u00c0-\u024f_\\])(_{1,3})(?![\s_])([^_\n]+?)(?<![\s_\\])\1(?![A-Za-z0-9\u00c0-\u024f_])"), 2, False),
     ("strike", re.compile(r"~~(?![\s~])([^~\n]+?)(?<!\s)~~"), 1, False),
     ("wikiquote", re.compile(r"(?<!')('{2,5})(?!')([^'\n]+(?:'[^'\n]+)*?)\1(?!')"), 2, False),
     ("switch", re.compile(r"__[A-Z]{2,}__|~{3,5}(?!\w)"), None, True),
@@ -112,24 +114,32 @@ LINE_RULES: list[tuple[str, re.Pattern, int | None, tuple | None]] = [
     ("row", re.compile(r"^[ \t]*\|(?![}-])(.*?)\|?[ \t]*$", re.M), 1, ("table", None)),
     ("row", re.compile(r"^!(?![\[!])[ \t]*(\S.*)$", re.M), 1, ("table", None)),
 ]
-LOOKALIKE = [
-    ("lookalike_lt", re.compile(r"<(?:[^<>\n]{0,40}>)?")),
-    ("lookalike_amp", re.compile(r"&\w*;?")),
-    ("lookalike_star", re.compile(r"\*+(?:[^*\n]{1,60}\*+)?")),
-    ("lookalike_under", re.compile(r"(?<=\w)_+\w*")),
-    ("lookalike_dollar", re.compile(r"\$[^$\n]{0,60}\$?")),
-    ("lookalike_bracket", re.compile(r"\[[^\[\]\n]{0,60}\]")),
-    ("lookalike_back", re.compile(r"\\\S*")),
-    ("lookalike_hash", re.compile(r"#+\w*")),
-    ("lookalike_pipe", re.compile(r"\|")),
-    ("lookalike_eq", re.compile(r"={2,}")),
-    ("lookalike_tilde", re.compile(r"~+\S*")),
-    ("lookalike_brace", re.compile(r"\{[^{}\n]{0,60}\}?")),
-    ("lookalike_tick", re.compile(r"`+|'(?=\d)")),
+#: What might be a construct; a candidate of these gives way to one of the narrow patterns that it crosses.
+GENEROUS: list[tuple[str, re.Pattern, int | None]] = [
+    ("math", re.compile(r"\$([^$\n]{0,80})\$"), 1),
+    ("emphasis", re.compile(r"(\*{1,3})([^*\n]{1,80})\1"), 2),
+    ("emphasis", re.compile(r"(_{1,3})([^_\n]{1,80})\1"), 2),
+    ("strike", re.compile(r"(~{1,2})([^~\n]{1,80})\1"), 2),
+    ("span", re.compile(r"`([^`\n]{1,80})[`']"), 1),
+    ("heading", re.compile(r"^[ \t]*#{1,6}(?=\w)(.*)$", re.M), 1),
+    ("wikihead", re.compile(r"==+([^=\n]{1,80})==+"), 1),
+    ("lookalike_lt", re.compile(r"<(?:[^<>\n]{0,40}>)?"), None),
+    ("lookalike_amp", re.compile(r"&\w*;?"), None),
+    ("lookalike_star", re.compile(r"\*+"), None),
+    ("lookalike_under", re.compile(r"(?<=\w)_+\w*"), None),
+    ("lookalike_dollar", re.compile(r"\$[^$\s]*"), None),
+    ("lookalike_bracket", re.compile(r"\[[^\[\]\n]{0,60}\]"), None),
+    ("lookalike_back", re.compile(r"\\\S*"), None),
+    ("lookalike_hash", re.compile(r"#+\w*"), None),
+    ("lookalike_pipe", re.compile(r"\|"), None),
+    ("lookalike_eq", re.compile(r"={2,}"), None),
+    ("lookalike_tilde", re.compile(r"~+[^\s~]*"), None),
+    ("lookalike_brace", re.compile(r"\{[^{}\n]{0,60}\}?"), None),
+    ("lookalike_tick", re.compile(r"`+|'(?=\d)"), None),
 ]
 
 
-def _strict_tag(m: re.Match) -> bool:
+def _known_tag(m: re.Match) -> bool:
     name, attrs = m.group(2).lower(), m.group(3)
     bare = re.findall(r"(?<![=\w\"'])\s([A-Za-z_:][\w:.-]*)(?=\s|$)(?!\s*=)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*'|\S+)", "=", attrs))
     return name in ELEMENTS and all(b.lower() in BOOLEAN for b in bare)
@@ -139,8 +149,9 @@ def _pairs(text: str) -> list[Node]:
     """Elements of HTML as nodes: an opening tag with its closing one, or a tag that stands alone."""
     nodes, open_ = [], []
     for m in TAG.finditer(text):
-        name, strict = m.group(2).lower(), _strict_tag(m)
-        if not strict:
+        name = m.group(2).lower()
+        if not _known_tag(m):  # of an unknown name or with bare words: one candidate for itself
+            nodes.append(Node("tag", m.start(), m.end(), sure=False))
             continue
         if m.group(1):
             for k in range(len(open_) - 1, -1, -1):
@@ -201,8 +212,7 @@ def parse(text: str) -> list[Node]:
         nodes.append(Node("cut", m.start(), m.end(), raw=True))
     for m in CHARREF.finditer(text) if "&" in text else ():
         name = m.group()[1:]
-        if name[0] == "#" or name in html5:
-            nodes.append(Node("charref", m.start(), m.end(), put=html.unescape(m.group()), raw=True))
+        nodes.append(Node("charref", m.start(), m.end(), put=html.unescape(m.group()), raw=True, sure=name[0] == "#" or name in html5))
     for m in FENCE.finditer(text) if "```" in text or "~~~" in text else ():
         nodes.append(Node("fence", m.start(), m.end(), ((m.start(3), m.end(3)),), "", ("code", None), raw=True))
     for m in SETEXT.finditer(text) if "\n=" in text or "\n--" in text else ():
@@ -242,7 +252,7 @@ def parse(text: str) -> list[Node]:
 
 def _latex(text: str) -> list[Node]:
     nodes = []
-    for m in re.finditer(r"(?<![\w:\\])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?((?:\{[^{}]*\})*)", text):
+    for m in re.finditer(r"(?<![A-Za-z0-9\u00c0-\u024f_:\\])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?((?:\{[^{}]*\})*)", text):
         name, args = m.group(1), m.group(2)
         if name in ("begin", "end", "verb"):
             continue
@@ -266,17 +276,31 @@ def _latex(text: str) -> list[Node]:
 
 
 def _tree(text: str, nodes: list[Node]) -> list[Node]:
-    covered = np.zeros(len(text) + 1, bool)
+    sure = sorted(((n.start, n.end) for n in nodes if n.sure))
+    starts = [a for a, _ in sure]
+    depth_end: list[int] = []  # the furthest end of the narrow candidates up to each
+    for _, e in sure:
+        depth_end.append(max(e, depth_end[-1]) if depth_end else e)
+
+    def crosses(a: int, e: int) -> bool:
+        """Whether a stretch begins or ends within a narrow candidate that it doesn't lie in."""
+        if (i := bisect_left(starts, a)) and depth_end[i - 1] > a and any(x < a < y < e for x, y in sure[max(0, i - 40) : i]):
+            return True
+        return any(a <= x < e < y for x, y in sure[i : bisect_left(starts, e)])
+
+    taken = np.zeros(len(text) + 1, bool)
     for n in nodes:
-        covered[n.start : n.end] = True
-    for (family, pattern), sign in zip(LOOKALIKE, LOOKALIKE_SIGNS, strict=True):  # what resembles a construct outside of the grammar's stretches
+        taken[n.start] = True
+    nodes = [n for n in nodes if n.sure or not crosses(n.start, n.end)]
+    for (family, pattern, group), sign in zip(GENEROUS, GENEROUS_SIGNS, strict=True):
         if sign not in text:
             continue
         for m in pattern.finditer(text):
-            if not covered[m.start()]:
-                nodes.append(Node(family, m.start(), m.end(), ((m.start(), m.end()),), strict=False))
-                covered[m.start() : m.end()] = True
-    nodes.sort(key=lambda n: (n.start, -n.end, FAMILIES.index(n.family)))
+            if not taken[m.start()] and not crosses(m.start(), m.end()):
+                taken[m.start()] = True
+                keep = () if group is None or family.startswith("look") else ((m.start(group), m.end(group)),)
+                nodes.append(Node(family, m.start(), m.end(), keep or ((m.start(), m.end()),), sure=False))
+    nodes.sort(key=lambda n: (n.start, -n.end, not n.sure, FAMILIES.index(n.family)))
     out: list[Node] = []
     stack: list[int] = []
     for n in nodes:
@@ -294,13 +318,13 @@ def _tree(text: str, nodes: list[Node]) -> list[Node]:
 
 
 def _class(c: str) -> int:
-    return 0 if not c else 1 if c == "\n" else 2 if c.isspace() else 3 if c.isdigit() else 4 if c.isalpha() else 5
+    return 0 if not c else 1 if c == "\n" else 2 if c.isspace() else 3 if c.isdigit() else 6 if c >= "\u2e80" else 4 if c.isalpha() else 5
 
 
 #: A sign without which a rule cannot match; rules whose sign a text lacks are not tried.
 INLINE_SIGNS = ("$$", "$", "\\", "\\verb", "``", "`", "{{", "![", "[[", "[", "[^", "](", "[", "<", "*", "_", "~~", "''", "__", "\\", "\\", "\\", "\\\\")
 LINE_SIGNS = ("#", "=", "#", "", ">", "]:", "[", "", "", "", "|", "|", "|", "!")
-LOOKALIKE_SIGNS = ("<", "&", "*", "_", "$", "[", "\\", "#", "|", "==", "~", "{", "")
+GENEROUS_SIGNS = ("$", "*", "_", "~", "`", "#", "==", "<", "&", "*", "_", "$", "[", "\\", "#", "|", "==", "~", "{", "")
 
 FEATURES = 26
 
@@ -311,6 +335,7 @@ def features(text: str, nodes: list[Node], kind: str | None) -> np.ndarray:
     signs = [text[n.start : n.end].lstrip()[:1] for n in nodes]
     total = {s: signs.count(s) for s in set(signs)}
     kinds = ("paragraph", "heading", "list_item", "table", "code")
+    roots = [j for j in range(len(nodes)) if nodes[j].parent < 0]
     for i, n in enumerate(nodes):
         s = text[n.start : n.end]
         t = s.strip()
@@ -324,7 +349,7 @@ def features(text: str, nodes: list[Node], kind: str | None) -> np.ndarray:
         line_start = n.start == 0 or text[n.start - 1] == "\n"
         line_end = n.end >= len(text) or text[n.end] == "\n" or text[n.end - 1 : n.end] == "\n"
         sub = sum(nodes[c].end - nodes[c].start for c in n.children)
-        siblings = nodes[n.parent].children if n.parent >= 0 else [j for j in range(len(nodes)) if nodes[j].parent < 0]
+        siblings = nodes[n.parent].children if n.parent >= 0 else roots
         same = sum(signs[j] == signs[i] for j in siblings[:200])
         name = re.match(r"\w*", inside).group()
         out[i] = (
@@ -412,14 +437,15 @@ class Boosted:
 
 
 def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
-    """The choice of greatest joint likelihood: True for markup. Children are decided first; a raw node that is markup shadows what lies in it."""
+    """The choice of greatest joint likelihood: True for markup. Children are decided first; a raw node that is markup shadows what
+    lies in it, all of which then counts as no markup."""
     yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
-    free = np.zeros(len(nodes))  # best sum over the subtree
+    free, none = np.zeros(len(nodes)), np.zeros(len(nodes))  # the best sum over the subtree, and that of no markup in it at all
     take = np.zeros(len(nodes), bool)
     for i in range(len(nodes) - 1, -1, -1):  # parents come first
-        inside = sum(free[c] for c in nodes[i].children)
-        with_, without = yes[i] + (0.0 if nodes[i].raw else inside), no[i] + inside
-        take[i], free[i] = with_ >= without, max(with_, without)
+        inside, empty = sum(free[c] for c in nodes[i].children), sum(none[c] for c in nodes[i].children)
+        with_, without = yes[i] + (empty if nodes[i].raw else inside), no[i] + inside
+        take[i], free[i], none[i] = with_ >= without, max(with_, without), no[i] + empty
     shadow = np.zeros(len(nodes), bool)
     for i, n in enumerate(nodes):
         if n.parent >= 0:
@@ -427,14 +453,34 @@ def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
     return take & ~shadow
 
 
-def _written(seed: int = 5, blocks: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of nodes in blocks written here: fillers with constructs and look-alikes at known places."""
+#: Words are written in a private alphabet, so what is markup in a written block can be told by its characters.
+PRIVATE = 0xE000
+
+
+def _hide(words: str) -> str:
+    return "".join(chr(PRIVATE + ord(c)) if ord(c) < 0x1000 else chr(0xF0000 + ord(c)) for c in words)
+
+
+def _show(text: str) -> tuple[str, np.ndarray]:
+    """The text as it is read, and which of its characters aren't words."""
+    points = np.array([ord(c) for c in text], np.int64)
+    word = (points >= PRIVATE) & (points < PRIVATE + 0x1000) | (points >= 0xF0000)
+    return "".join(chr(x - PRIVATE) if PRIVATE <= x < PRIVATE + 0x1000 else chr(x - 0xF0000) if x >= 0xF0000 else chr(x) for x in points.tolist()), ~word
+
+
+def _written(seed: int = 5, blocks: int = 7000) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of nodes in blocks written here: fillers with constructs and look-alikes at known places.
+
+    A node is markup if the first of its characters that aren't content was written as markup. In raw content nothing is. What lies
+    in parts of a construct that vanish with it (addresses, names) has no label, nor have stretches that reach beyond their construct.
+    """
     r = random.Random(seed)
     syllables = [c + v for c in ("b", "d", "gr", "k", "l", "m", "n", "pr", "s", "t", "v") for v in "aeiou"]
-    w = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-    ph = lambda: " ".join(w() for _ in range(r.randint(1, 3)))
-    n = lambda: str(r.randint(1, 2000))
-    sentence = lambda: r.choice([lambda: " ".join(w() for _ in range(r.randint(3, 14))).capitalize() + r.choice(".!?"), lambda: "".join(chr(r.randint(0x4E00, 0x4FFF)) for _ in range(r.randint(5, 20))) + "。"])()
+    w = lambda: _hide("".join(r.choice(syllables) for _ in range(r.randint(1, 4))))
+    ph = lambda: _hide(" ").join(w() for _ in range(r.randint(1, 3)))
+    n = lambda: _hide(str(r.randint(1, 2000)))
+    sentence = lambda: r.choice([lambda: _hide(_show(" ".join(w() for _ in range(r.randint(3, 14))))[0].capitalize() + r.choice(".!?")), lambda: _hide("".join(chr(r.randint(0x4E00, 0x4FFF)) for _ in range(r.randint(5, 20))) + "。")])()
+    han = lambda: _hide("".join(chr(r.randint(0x4E00, 0x4FFF)) for _ in range(r.randint(1, 6))))
     constructs = [
         lambda: f"<{(t := r.choice(['b', 'i', 'em', 'sup', 'sub', 'h2', 'h3', 'p', 'span', 'u', 'cite', 'code']))}>{ph()}</{t}>",
         lambda: f"<{(t := r.choice(['div', 'DIV', 'span', 'p', 'td', 'ref', 'font']))} {r.choice(['class', 'id', 'name', 'data-k'])}={(q := r.choice(['', '', chr(34)]))}{w()}{q}>{r.choice([sentence, ph])()}</{t}>",
@@ -455,6 +501,8 @@ def _written(seed: int = 5, blocks: int = 5000) -> tuple[np.ndarray, np.ndarray]
         lambda: f"<ref name={w()}>{ph()}</ref>",
         lambda: f"{w()}&{r.choice(['amp', 'nbsp', 'lt', 'gt', 'eacute', 'ndash', 'times', '#8217', '#x2014', 'quot'])};{w()}",
         lambda: f"{(d := r.choice(['*', '**', '_', '__', '***']))}{ph()}{d}",
+        lambda: f"{han()}{(d := r.choice(['**', '*', '__', '~~', '`']))}{han()}{d}{han()}",
+        lambda: f"{han()}${w()[0]}^2${han()}",
         lambda: f"~~{ph()}~~",
         lambda: f"`{w()} --{w()}`",
         lambda: f"[{ph()}](https://{w()}.example/{w()}_{w()})",
@@ -534,6 +582,7 @@ def _written(seed: int = 5, blocks: int = 5000) -> tuple[np.ndarray, np.ndarray]
         lambda: f"the '{r.randint(10, 99)}s and '{r.randint(10, 99)}s {w()}",
         lambda: f"{w()} => {w()} <= {n()}",
         lambda: f"it's {w()}'s `{w()}",
+        lambda: f"{w()} {r.choice('<&*_$[#|~{`=') * r.choice([1, 1, 2, 3, 6])} {w()}",
     ]
     xs, ys = [], []
     for _ in range(blocks):
@@ -547,14 +596,35 @@ def _written(seed: int = 5, blocks: int = 5000) -> tuple[np.ndarray, np.ndarray]
                 pieces.append((r.choice(constructs)() + " ", 1) if r.random() < 0.6 else (r.choice(plain)() + r.choice([". ", ", "]), 0))
         if r.random() < 0.03:
             pieces.append((f"<div class={r.choice([chr(34), ''])}{w()}", 1))
-        text, made = "", np.zeros(0, bool)
+        elif r.random() < 0.6:  # a block ends with its last construct as often as not
+            pieces[-1] = (pieces[-1][0].rstrip(" \n"), pieces[-1][1])
+        elif r.random() < 0.1:
+            pieces.append((r.choice("<&*$[#|~{`=") * r.choice([1, 1, 2, 9]), 0))
+        text, markup, piece_end = "", np.zeros(0, bool), np.zeros(0, np.int64)
         for piece, label in pieces:
-            text += piece
-            made = np.concatenate([made, np.full(len(piece), bool(label))])
+            shown, syntax = _show(piece)
+            text += shown
+            markup = np.concatenate([markup, syntax & bool(label)])
+            piece_end = np.concatenate([piece_end, np.full(len(shown), len(text) if label else 0)])
         nodes = parse(text)
-        if nodes:
-            xs.append(features(text, nodes, kind))
-            ys.append(np.array([float(m.strict and made[m.start]) for m in nodes]))
+        label = np.full(len(nodes), -1.0)
+        raw = np.zeros(len(nodes), bool)
+        for i, m in enumerate(nodes):
+            own = [j for j in range(m.start, m.end) if not text[j].isspace() and not any(a <= j < e for a, e in m.keep)]
+            lead = own[0] if own else min(m.start + len(text[m.start : m.end]) - len(text[m.start : m.end].lstrip()), m.end - 1)
+            if (up := m.parent) >= 0:
+                if raw[up]:
+                    raw[i], label[i] = True, 0.0
+                    continue
+                if label[up] < 0 or label[up] == 1 and not any(a <= m.start and m.end <= e for a, e in nodes[up].keep):
+                    continue  # it vanishes with what it lies in
+            if piece_end[lead] and m.end > piece_end[lead]:
+                continue
+            label[i] = markup[lead]
+            raw[i] = m.raw and bool(markup[lead])
+        if (label >= 0).any():
+            xs.append(features(text, nodes, kind)[label >= 0])
+            ys.append(label[label >= 0])
     return np.concatenate(xs), np.concatenate(ys)
 
 
@@ -571,8 +641,7 @@ def judge(text: str, kind: str | None, model: Boosted) -> tuple[list[Node], np.n
     nodes = parse(text)
     if not nodes:
         return nodes, np.zeros(0, bool)
-    take = decode(nodes, model.logits(features(text, nodes, kind)))
-    return nodes, take & np.array([n.strict for n in nodes])  # the exact check
+    return nodes, decode(nodes, model.logits(features(text, nodes, kind)))
 
 
 def render(text: str, nodes: list[Node], take: np.ndarray, kind: str | None, level: int | None) -> list[tuple[str | None, int | None, str]]:
@@ -639,6 +708,28 @@ def render(text: str, nodes: list[Node], take: np.ndarray, kind: str | None, lev
     return out or [(kind, level, "")]
 
 
+def _names(nodes: list[Node], take: np.ndarray) -> list[str]:
+    """The families of what was chosen; a sign that no family claims is ``other``, unless it lies in something chosen."""
+    inside = np.zeros(len(nodes), bool)
+    out = []
+    for i, n in enumerate(nodes):
+        inside[i] = n.parent >= 0 and (take[n.parent] or inside[n.parent])
+        if take[i] and not (n.family.startswith("lookalike") and inside[i]):
+            out.append("other" if n.family.startswith("lookalike") else n.family)
+    return out
+
+
+def _cells(line: str, model: Boosted) -> list[str]:
+    """The cells of a table's row: pipes in a link, a template, a formula or code that the trees choose don't part cells."""
+    line = line.strip().removeprefix("|").removesuffix("|")
+    cuts = [m.start() for m in re.finditer(r"(?<!\\)\|", line)]
+    if cuts and re.search(r"\[\[|\{\{|\$|\\|`", line):
+        nodes, take = judge(line, "table", model)
+        kept = [(n.start, n.end) for n, t in zip(nodes, take, strict=True) if t and n.family in ("wikilink", "template", "math", "span", "command")]
+        cuts = [c for c in cuts if not any(a < c < b for a, b in kept)]
+    return [line[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(line)], strict=True)]
+
+
 def clean_block(text: str | None, kind: str | None, level: int | None, model: Boosted) -> tuple[list[tuple[str | None, int | None, str | None]], list[str]]:
     """Parts of a block and the families of the constructs in it.
 
@@ -650,21 +741,18 @@ def clean_block(text: str | None, kind: str | None, level: int | None, model: Bo
         found: list[str] = []
         rows = []
         for line in text.split("\n"):
-            if re.fullmatch(r"[\s|:-]*", line) or "|" not in line:
-                cells, wrap = [line], "{}"
-            else:
-                cells, wrap = re.split(r"(?<!\\)\|", line.strip().removeprefix("|").removesuffix("|")), "| {} |"
+            piped = "|" in line and not re.fullmatch(r"[\s|:-]*", line)
             done = []
-            for c in cells:
-                nodes, take = judge(c.strip(), kind, model) if wrap != "{}" or "|" not in c else ([], np.zeros(0, bool))
-                found += [n.family for n, t in zip(nodes, take, strict=True) if t]
+            for c in _cells(line, model) if piped else [line]:
+                nodes, take = judge(c.strip(), kind, model) if piped or "|" not in c else ([], np.zeros(0, bool))
+                found += _names(nodes, take)
                 done.append(" ".join(x for _, _, x in render(c.strip(), nodes, take, None, None)) if take.any() else c.strip())
-            rows.append(wrap.format(" | ".join(done)))
+            rows.append(f"| {' | '.join(done)} |" if piped else done[0])
         return [(kind, level, "\n".join(rows) if found else text)], found
     nodes, take = judge(text, kind, model)
     if not take.any():
         return [(kind, level, text)], []
-    return render(text, nodes, take, kind, level), [n.family for n, t in zip(nodes, take, strict=True) if t]
+    return render(text, nodes, take, kind, level), _names(nodes, take)
 
 
 SCHEMA = "block_id long, part int, kind string, level int, text string, residue boolean, constructs array<string>"
