@@ -1,14 +1,14 @@
 """Splitting oversized items at natural boundaries (problem 4): content-defined chunking.
 
 A rolling hash over the last ``WINDOW`` characters marks landmarks, which depend on nothing but the text near them. A cut is
-sought between the minimum and the maximum size of a piece: the first landmark there snaps to the nearest natural boundary
-(paragraph, then sentence end, then line or table row, then white space, the strongest kind that the range has near enough);
-without a landmark the strongest boundary nearest to the maximum is taken. Without any boundary there the last one before the
-minimum is taken, and a stretch longer than the maximum is cut hard at the maximum. As the landmarks fall into step again after an edit, an edit alters only pieces near it.
-
-The next piece of prose begins ``overlap`` characters before the cut, or fewer where a stretch without boundary would fit whole
-into the piece only so; table rows and hard cuts share nothing, so a row or
-an unbroken run is not told twice. All positions count Unicode code points.
+sought between the minimum and the maximum size of a piece: the first landmark there (without one, the maximum) snaps to the
+nearest natural boundary: paragraph, sentence end, line or table row, or white space, where the distance to a stronger kind
+weighs less. Without any boundary there the last one before the minimum is taken, and only a stretch longer than the maximum
+is cut hard, at the maximum; ``forced`` tells whether that happened. As the landmarks fall into step again after an edit, an edit
+alters only pieces near it.
+
+The next piece of prose begins ``overlap`` characters before the cut, also after a hard one, or fewer where a stretch without
+boundary would fit whole into the piece only so; table rows share nothing, so a row is not told twice. All positions count Unicode code points.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ BOUNDARIES = (
     (SENTENCE, re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)\s?|[。！？]+[」』”’]*")),
     (PARAGRAPH, re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:(?:\r\n|\r|\n)[ \t]*)+")),
 )
-RUN = re.compile(r"[^\s。！？]+")
+#: What a character of distance weighs by kind of boundary: a sentence end fifty characters away is as near as a blank at the landmark.
+WEIGHT = np.array([np.inf, 100.0, 10.0, 2.0, 1.0])
 ROW = re.compile(r"^[ \t]*\|", re.M)
 SCHEMA = "piece int, start long, end long, text string, cut string, forced int"
 
@@ -59,11 +60,6 @@ def boundaries(text: str) -> np.ndarray:
     return kind
 
 
-def forced(text: str | None, limit: int = LIMIT) -> bool:
-    """Whether the text has a stretch longer than ``limit`` without white space and full-width stop."""
-    return text is not None and any(m.end() - m.start() > limit for m in RUN.finditer(text))
-
-
 def _run_end(places: np.ndarray, cut: int, n: int) -> int:
     """The next boundary after a cut, or the end of the text."""
     i = np.searchsorted(places, cut, "right")
@@ -86,32 +82,26 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, minimum: int =
     pieces, start, last = [], 0, 0
     while n - start > limit:
         low, high = start + minimum, start + limit
-        at = np.arange(low, high + 1)
-        here = kind[low : high + 1]
+        here = places[np.searchsorted(places, low) : np.searchsorted(places, high, "right")]
         cut, how = high, "hard"
-        if here.any():
+        if len(here):
             inside = marks[np.searchsorted(marks, low) : np.searchsorted(marks, high, "right")]
             aim = int(inside[0]) if len(inside) else high
-            # the strongest kind first, unless only a much nearer weaker one lies within reach of the landmark
-            for strength in (PARAGRAPH, SENTENCE, LINE, SPACE):
-                found = at[here >= strength]
-                if len(found):
-                    cut = int(found[np.argmin(np.abs(found - aim))])
-                    how = names[int(kind[cut])]
-                    break
+            cut = int(here[np.argmin((np.abs(here - aim) + 1) * WEIGHT[kind[here]])])  # the nearest, a stronger kind from further away
+            how = names[int(kind[cut])]
         else:
             before = places[: np.searchsorted(places, low)]
             if len(before) and (at_run := int(before[-1])) > last:
                 if at_run > start + overlap or _run_end(places, at_run, n) - at_run <= limit:
                     cut, how = at_run, names[int(kind[at_run])]
+        if how == "hard" and re.match(r"[\s。！？]", text[cut]):  # the run ends right there
+            how = "space" if text[cut].isspace() else "sentence"
         pieces.append((start, cut, how))
         row = how == "line" and ROW.match(text, cut) is not None
-        start = cut if how == "hard" or row else cut - overlap
+        start = cut if row else cut - overlap
         if start < cut and start + limit < (end := _run_end(places, cut, n)) <= cut + limit:
             start = end - limit
         last = cut
-        if start < cut and 0xDC00 <= ord(text[start]) < 0xE000:  # never in a Python string from UTF-8; kept for others
-            start += 1
     pieces.append((start, n, "end"))
     return pieces
 
@@ -126,8 +116,9 @@ def _pieces(batches: Iterator, limit: int, overlap: int, minimum: int) -> Iterat
         for r, text in enumerate(batch.column(names.index("_text")).to_pylist()):
             if text is None:
                 continue
-            is_forced = int(forced(text, limit))
-            for i, (a, b, how) in enumerate(split(text, limit, overlap, minimum)):
+            cuts = split(text, limit, overlap, minimum)
+            is_forced = int(any(how == "hard" for _, _, how in cuts))
+            for i, (a, b, how) in enumerate(cuts):
                 rows.append(r)
                 out.append((i, a, b, text[a:b], how, is_forced))
         kept = batch.select([c for c in names if c != "_text"]).take(pa.array(rows, pa.int64()))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialize, partitions
+from cairn.session import global_index, materialize, partitions
 
 
 def _value(c: str) -> Column:
@@ -44,10 +44,14 @@ def borda_places(hits: DataFrame, group: str, item: str, scores: list[str], ties
     if ties not in ("average", "min") or missing not in ("mid", "last"):
         raise ValueError("ties: average or min; missing: mid or last")
     own = [F.col(group).alias("_group"), F.col(item).alias("_item"), *(_value(s).alias(f"_s{i}") for i, s in enumerate(scores))]
+    crowded = hits.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(F.col(group).alias("_of"))
     rows = hits.select(*own).distinct()
-    sizes = rows.groupBy(F.col("_group").alias("_of")).agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows)
-    cold = rows.join(hot, F.col("_group").eqNullSafe(F.col("_of")), "left_anti")
+    if crowded.isEmpty():  # repeats counted, so no group can be hot
+        cold, hot = rows, None
+    else:
+        sizes = rows.groupBy(F.col("_group").alias("_of")).agg(F.count("*").alias("_n"))
+        hot = sizes.filter(F.col("_n") > hot_rows)
+        cold = rows.join(hot, F.col("_group").eqNullSafe(F.col("_of")), "left_anti")
     by = Window.partitionBy("_group")
     cold = cold.withColumn("_n", F.count("*").over(by))
     for i in range(len(scores)):
@@ -55,15 +59,13 @@ def borda_places(hits: DataFrame, group: str, item: str, scores: list[str], ties
         at = Window.partitionBy("_group").orderBy(s.desc_nulls_last())
         tied = F.count("*").over(Window.partitionBy("_group", s))
         cold = cold.withColumn(f"_p{i}", _place(F.rank().over(at) - 1, tied, s.isNotNull(), F.col("_n"), ties, missing))
-    out = cold.unionByName(_hot_places(rows, hot, len(scores), ties, missing))
+    out = cold if hot is None else cold.unionByName(_hot_places(rows, hot, len(scores), ties, missing))
     return out.select(F.col("_group").alias(group), F.col("_item").alias(item), *(F.col(f"_s{i}").alias(s) for i, s in enumerate(scores)), F.col("_n").alias("n"), *(F.col(f"_p{i}").alias(f"place_{s}") for i, s in enumerate(scores)))
 
 
 def _hot_places(rows: DataFrame, hot: DataFrame, k: int, ties: str, missing: str) -> DataFrame:
     rows = rows.join(hot, F.col("_group").eqNullSafe(F.col("_of")), "inner").drop("_of")
     rows = materialize(rows, "hot-groups")
-    if rows.isEmpty():
-        return rows.select("*", *(F.lit(None).cast("double").alias(f"_p{i}") for i in range(k)))
     long = reduce(DataFrame.unionByName, (rows.select("_group", F.lit(i).alias("_i"), F.col(f"_s{i}").alias("_v")).filter("_v is not null") for i in range(k)))
     counts = long.groupBy("_group", "_i", "_v").agg(F.count("*").alias("_tied"))
     counts = counts.repartitionByRange(partitions(rows.sparkSession), F.col("_group"), F.col("_i"), F.col("_v").desc()).withColumn("_pid", F.spark_partition_id())
@@ -88,6 +90,18 @@ def borda(hits: DataFrame, group: str, item: str, scores: list[str], weights: li
     return places.withColumn("points", reduce(lambda a, b: a + b, ((F.col("n") - F.col(f"place_{s}")) * F.lit(float(w)) for s, w in zip(scores, weights, strict=True))))
 
 
+def ranked(points: DataFrame, group: str, item: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """``points`` (of ``borda``) with ``rank``, 1-based in each group: most points first, of equal points the smaller item, repeats of an
+    item (under other scores) in a fixed order. Groups above ``hot_rows`` are numbered by range partitions instead of one window."""
+    order = [F.desc("points"), F.asc_nulls_first(item), *(F.desc_nulls_last(c) for c in points.columns if c not in (group, item, "points", "n"))]
+    if points.filter(F.col("n") > hot_rows).isEmpty():
+        return points.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    points = materialize(points, "points")
+    cold = points.filter(F.col("n") <= hot_rows).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    hot = global_index(points.filter(F.col("n") > hot_rows), order, "ranks", [group])
+    return cold.unionByName(hot.withColumn("rank", (F.col("row_index") + 1).cast("long")).drop("row_index"))
+
+
 def best(ranked: DataFrame, group: str, item: str) -> DataFrame:
     """The first item of each group: most points, then the smallest id; an aggregation, so hot groups are combined before the shuffle."""
     return ranked.groupBy(group).agg(F.min_by(F.col(item), F.struct(-F.col("points"), F.col(item))).alias(item))

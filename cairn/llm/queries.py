@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import chunking, components, fusion, markup, packing, tokenizing, toxicity
@@ -37,10 +37,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 _AVG = "CASE WHEN {0} IS NULL THEN (n + 1) / 2.0 ELSE rank() OVER (PARTITION BY query_id ORDER BY {0} DESC NULLS LAST) + (count(*) OVER (PARTITION BY query_id, {0}) - 1) / 2.0 END"
 
 
-@R.add("p5_ranking", _HITS + f"p AS (SELECT query_id, doc_id, n, {', '.join(_AVG.format(s) + f' AS p{i}' for i, s in enumerate(SCORES))} FROM c) SELECT query_id, doc_id, CAST(3 * n - p0 - p1 - p2 AS DOUBLE) AS points FROM p")
+@R.add("p5_ranking", _HITS + f"p AS (SELECT query_id, doc_id, n, {', '.join(_AVG.format(s) + f' AS p{i}' for i, s in enumerate(SCORES))} FROM c) SELECT query_id, doc_id, CAST(3 * n - p0 - p1 - p2 AS DOUBLE) AS points, row_number() OVER (PARTITION BY query_id ORDER BY 3 * n - p0 - p1 - p2 DESC, doc_id) AS rank FROM p")
 def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Borda points of every hit: averaged ties, missing scores in the middle. One order per query is points descending, then doc_id."""
-    return fusion.borda(table(spark, d, "hits"), "query_id", "doc_id", SCORES).select("query_id", "doc_id", "points")
+    """Borda points of every hit, averaged ties, missing scores in the middle; and its rank in its query, of equal points by doc_id."""
+    points = fusion.borda(table(spark, d, "hits"), "query_id", "doc_id", SCORES)
+    return fusion.ranked(points, "query_id", "doc_id").select("query_id", "doc_id", "points", "rank")
 
 
 _GROUPS = """
@@ -84,6 +85,21 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.oversized_pieces(table(spark, d, "text_units"))
 
 
+@R.add("p4_audit", r"""
+SELECT id, max(length(text)) AS chars, true AS covered, true AS within, true AS shares,
+  max(CASE WHEN list_max(list_transform(regexp_extract_all(text, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F。！？]+'), lambda x: length(x))) > 1200 THEN 1 ELSE 0 END) = 1 AS hard
+FROM text_units WHERE length(text) > 1200 GROUP BY id""")
+def p4_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of each oversized unit's pieces: they cover its text without a gap and end in order, none is over the limit, neighbours
+    share at most the overlap and table rows nothing, and a cut is hard only where the text has too long a run."""
+    pieces = chunking.shared_ends(chunking.oversized_pieces(table(spark, d, "text_units")))
+    w = Window.partitionBy("id").orderBy("piece")  # the pieces of one unit
+    pieces = pieces.withColumn("_before", F.lag("end").over(w))
+    fits = F.col("_before").isNull() & (F.col("start") == 0) | (F.col("start") <= F.col("_before")) & (F.col("end") > F.col("_before"))
+    exact = (F.length("text") == F.col("end") - F.col("start")) & (F.length("text") <= chunking.LIMIT)
+    return pieces.groupBy("id").agg(F.max("end").alias("chars"), F.bool_and(fits).alias("covered"), F.bool_and(exact).alias("within"), F.bool_and(F.col("shared").between(0, chunking.OVERLAP)).alias("shares"), F.bool_or(F.col("cut") == "hard").alias("hard"))
+
+
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, packing.Plan]:
     sizes = tokenizing.count_tokens(table(spark, d, "documents"), "doc_id", "text")
     return packing.pack(sizes, "doc_id", "n_tokens")

@@ -1,6 +1,7 @@
 """The chunker's invariants."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -15,8 +16,9 @@ def check(text, **o):
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for (a, b, how), (c, d, _) in zip(pieces, pieces[1:]):
         assert 0 < b - a <= limit and c <= b < d
-        if how in ("sentence", "paragraph", "space"):
-            assert b - c == o.get("overlap", C.OVERLAP)
+        if how in ("sentence", "paragraph", "space", "hard"):
+            shared = o.get("overlap", C.OVERLAP)
+            assert b - c == shared or b - c < shared and (d - c == limit or d == len(text))
     assert pieces[-1][1] - pieces[-1][0] <= limit
     return pieces
 
@@ -27,10 +29,29 @@ def test_any_text(s):
     check(s, limit=120, overlap=20, minimum=50)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["x", "y.", "汐", "z|", "w,"]), st.integers(1, 90), st.sampled_from([" ", "\n", "。", "\n\n", ". "])), max_size=12))
+def test_cuts_are_hard_just_where_a_run_exceeds_the_limit(parts):
+    s = "".join(a * n + end for a, n, end in parts)
+    pieces = check(s, limit=120, overlap=20, minimum=50)
+    assert any(how == "hard" for _, _, how in pieces) == (len(s) > 120 and any(len(run) > 120 for run in re.findall(r"[^\s。！？]+", s)))
+
+
+def test_the_nearest_boundary_wins_unless_a_stronger_one_is_about_as_near():
+    r = random.Random(2)
+    words = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(400))[:1800]
+    plain, wins, places = C.split(words)[0][1], [], [i for i in range(460, 1190) if words[i] == " "]
+    for at in places:
+        s = words[: at - 1] + "." + words[at:]
+        if C.split(s)[0][2] == "sentence":
+            wins.append(at)
+    assert 5 < len(wins) < len(places) and sum(abs(at - plain) < 300 for at in wins) > 0.9 * len(wins)
+
+
 def test_natural_boundaries_are_used():
     r = random.Random(0)
     text = " ".join("word" * r.randint(1, 3) + r.choice(["", "", "", "."]) for _ in range(3000))
-    assert all(how in ("sentence", "end") for _, _, how in check(text))
+    assert all(how in ("sentence", "space", "end") for _, _, how in check(text))
 
 
 def test_rows_are_not_cut_and_share_nothing():
@@ -42,7 +63,8 @@ def test_rows_are_not_cut_and_share_nothing():
 
 def test_unbroken_run_is_forced():
     assert {h for _, _, h in check("x" * 5000)} == {"hard", "end"}
-    assert C.forced("a " + "x" * 1201) and not C.forced("x" * 1200 + " y") and not C.forced("汐。" * 900) and not C.forced(None)
+    hard = lambda s: any(h == "hard" for _, _, h in check(s))
+    assert hard("a " + "x" * 1201) and not hard("x" * 1200 + " y") and not hard("汐。" * 900)
 
 
 def test_a_run_within_the_limit_is_never_cut():

@@ -50,3 +50,15 @@ def test_empty_and_tie_break(spark):
     assert fusion.best(fusion.borda(empty, "q", "d", ["a", "b"]), "q", "d").count() == 0
     same = spark.createDataFrame([(1, 9, 1.0, 1.0, ""), (1, 4, 1.0, 1.0, "")], SCHEMA)
     assert fusion.best(fusion.borda(same, "q", "d", ["a", "b"]), "q", "d").first()["d"] == 4
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 3])
+def test_rank(spark, hot):
+    r = random.Random(2)
+    rows = [(r.choice([1, 1, 2]), i, r.choice([0.0, 1.0]), r.choice([0.0, 1.0]), "") for i in range(30)]
+    points = fusion.borda(spark.createDataFrame(rows, SCHEMA), "q", "d", ["a", "b"])
+    got = fusion.ranked(points, "q", "d", hot).collect()
+    for q in (1, 2):
+        own = sorted((x for x in got if x["q"] == q), key=lambda x: (-x["points"], x["d"]))
+        assert [x["rank"] for x in own] == list(range(1, len(own) + 1))
+    assert fusion.ranked(points.limit(0), "q", "d", hot).count() == 0
