@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Id prefixes and the kind each one names; the longer prefix is tried first.
-KINDS = {"op_": "operation", "c_": "capture", "n_": "note", "x_": "relationship", "k_": "claim", "e_": "entity", "g_": "community", "u_": "unit"}
+KINDS = {"op_": "operation", "c_": "capture", "n_": "note", "x_": "relationship_assertion", "k_": "claim_assertion", "e_": "entity", "g_": "community", "u_": "text_unit"}
 
 
 def strip(c: Column | str) -> Column:
@@ -125,11 +125,6 @@ def digit_signature(c: Column | str) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
 
 
-def query_terms(c: Column | str) -> Column:
-    """The ASCII words of a query, lower-cased; others are no terms."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), F.lit(1))
-
-
 def snippet(c: Column | str, limit: int = 200) -> Column:
     return F.substring(c, 1, limit)
 
@@ -137,20 +132,8 @@ def snippet(c: Column | str, limit: int = 200) -> Column:
 def cited_ids(c: Column | str) -> Column:
     """Ids inside ``[Data: ...]`` brackets, each once in the order first seen."""
     inside = F.regexp_extract_all(c, F.lit(r"\[Data:([^\]]*)\]"), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(inside, lambda x: F.regexp_extract_all(x, F.lit(r"\b((?:op|[cnxkegu])_[A-Za-z0-9_]+)"), F.lit(1)))))
+    return F.array_distinct(F.flatten(F.transform(inside, lambda x: F.regexp_extract_all(x, F.lit(r"\b([exkncgu]_[A-Za-z0-9_-]*[A-Za-z0-9_])"), F.lit(1)))))
 
 
 def radius(rank: Column) -> Column:
     return F.least(F.lit(18.0), F.lit(4.0) + F.lit(2.0) * F.sqrt(F.greatest(rank.cast("double"), F.lit(0.0))))
-
-
-def gfm_row(cells: Column) -> Column:
-    """One row of a pipe table: pipes escaped, line ends as blanks, cells stripped; nulls are empty."""
-    clean = F.transform(cells, lambda x: strip(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\\\|"), r"\n", " ")))
-    return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets; 0.0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)

@@ -468,7 +468,7 @@ def p1_lines_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", S.first_line("text", 80).alias("line"))
 
 
-@R.add("F2_ids", r"SELECT DISTINCT id, CASE WHEN starts_with(id, 'x_') THEN 'relationship' WHEN starts_with(id, 'k_') THEN 'claim' WHEN starts_with(id, 'u_') THEN 'unit' END AS kind, CASE WHEN regexp_matches(id, '^u_(.+)_\d{4,}$') THEN 'c_' || regexp_extract(id, '^u_(.+)_\d{4,}$', 1) END AS capture FROM (SELECT id FROM assertions UNION ALL SELECT id FROM claims UNION ALL SELECT id FROM text_units)")
+@R.add("F2_ids", r"SELECT DISTINCT id, CASE WHEN starts_with(id, 'x_') THEN 'relationship_assertion' WHEN starts_with(id, 'k_') THEN 'claim_assertion' WHEN starts_with(id, 'u_') THEN 'text_unit' END AS kind, CASE WHEN regexp_matches(id, '^u_(.+)_\d{4,}$') THEN 'c_' || regexp_extract(id, '^u_(.+)_\d{4,}$', 1) END AS capture FROM (SELECT id FROM assertions UNION ALL SELECT id FROM claims UNION ALL SELECT id FROM text_units)")
 def f2(spark: SparkSession, d: str) -> DataFrame:
     """The kind that an id names, and the capture of a unit."""
     ids = table(spark, d, "assertions").select("id").union(table(spark, d, "claims").select("id")).union(table(spark, d, "text_units").select("id")).distinct()

@@ -36,10 +36,12 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one of our own."""
+    """The folder of ``spark.checkpoint.dir``; on a local master that leaves it unset, one of our own. A cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cairn-")

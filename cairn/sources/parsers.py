@@ -14,6 +14,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, zip_longest
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCKS = "array<struct<kind:string,text:string,level:int,locator:struct<kind:string,label:string,index:int>>>"
 SCHEMA = f"path string, format string, title string, sha256 string, size long, parser_error string, metadata string, blocks {BLOCKS}, markdown string"
-#: Extensions of the formats, locator titles, the row cap of a sheet.
+#: Extensions of the formats, locator titles, the row cap of a sheet (a parameter wherever it is used).
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "csv": "csv", "tsv": "tsv", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown", "txt": "text"}
 LOCATOR_TITLES = {"page": "Page", "slide": "Slide", "sheet": "Sheet", "line": "Line"}
 MAX_ROWS = 2000
 ZIP_PARTS = {"word/document.xml": "docx", "ppt/presentation.xml": "pptx", "xl/workbook.xml": "xlsx"}
-CHROME = {"nav", "header", "footer", "aside", "script", "style", "noscript", "form", "iframe", "template", "svg", "button"}
+CHROME = {"nav", "header", "footer", "aside", "script", "style", "noscript"}
 
 
 def block(kind: str, text: str, level: int | None = None, locator: dict | None = None) -> dict:
@@ -54,14 +55,35 @@ def detect(name: str, data: bytes) -> str:
     return "html" if head.startswith((b"<!doctype html", b"<html")) else "text"
 
 
+#: Encodings of East Asia that are tried, and very common characters that tell them apart.
+EAST_ASIAN = ("gb18030", "big5", "shift_jis", "euc_jp", "euc_kr")
+COMMON = frozenset("的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后这個來說們為時會過學對後國の日本語した。、，이다는은을를에가하고의한로지사기어도서나그것있수들만")
+
+
 def decode_text(data: bytes) -> str:
-    """UTF-8 (with or without a mark), UTF-16 by its mark, else Windows-1252."""
+    """UTF-8 (with or without a mark), UTF-16 by its mark, else an encoding of East Asia where the high bytes come in runs, else Windows-1252.
+
+    Of those that can be decoded without error, the one whose text has most kana and common characters is taken.
+    """
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return data.decode("utf-16", "replace")
     try:
         return data.decode("utf-8-sig")
     except UnicodeDecodeError:
-        return data.decode("cp1252", "replace")
+        pass
+    high = sum(x >= 0x80 for x in data)
+    found: list[tuple[float, str]] = []
+    if sum(map(len, re.findall(rb"[\x80-\xff].(?:[\x80-\xff].)+", data, re.S))) > high * 0.7:
+        for name in EAST_ASIAN:
+            try:
+                text = data.decode(name)
+            except UnicodeDecodeError:
+                continue
+            wide = [c for c in text if c >= "\x80"]
+            good = sum(1.0 if c in COMMON or "\u3041" <= c <= "\u30fe" else 0.3 if "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" else 0.1 if "\u3000" <= c <= "\u303f" or "\uff01" <= c <= "\uff5e" else -1.0 for c in wide)
+            found.append((good / max(1, len(wide)), text))
+    best = max(found, key=lambda x: x[0], default=(0.0, ""))
+    return best[1] if best[0] > 0.2 else data.decode("cp1252", "replace")
 
 
 def paragraphs(text: str) -> list[str]:
@@ -96,7 +118,7 @@ def parse_markdown(data: bytes) -> tuple[str | None, dict, list[dict]]:
         elif mark:
             flush()
             fence = mark.group(1)[:3]
-        elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*\s*$", line):
+        elif m := re.match(r"(#{1,6})\s+(.*?)(?:\s+#+)?\s*$", line):
             flush()
             blocks.append(block("heading", m.group(2), len(m.group(1))))
         elif m := re.match(r"\s*(?:[-*+]|\d+[.)])\s+(.*)$", line):
@@ -114,27 +136,29 @@ def parse_markdown(data: bytes) -> tuple[str | None, dict, list[dict]]:
 
 def table_block(rows: list[list[str]], at: dict | None = None) -> dict:
     """A pipe table; the first row is the header, short rows are padded."""
-    if not rows:
-        return block("table", "", None, at)
-    width = max(map(len, rows))
-    cells = [[str(c).replace("|", "\\|").replace("\n", " ").strip() for c in r] + [""] * (width - len(r)) for r in rows]
-    lines = ["| " + " | ".join(r) + " |" for r in cells]
-    lines.insert(1, "| " + " | ".join(["---"] * width) + " |")
-    return block("table", "\n".join(lines), None, at)
-
-
-def parse_delimited(data: bytes, delimiter: str | None = None) -> tuple[str | None, dict, list[dict]]:
-    """A sheet of values with a given or a sniffed delimiter."""
-    text = decode_text(data)
+    cell = lambda c: re.sub(r"\||\n", lambda m: "\\|" if m.group() == "|" else " ", str(c)).strip()
+    columns = list(zip_longest(*rows, fillvalue="")) or [()]
+    lines = [[cell(c) for c in row] for row in zip(*columns, strict=True)]
+    lines[1:1] = [["---"] * len(columns)] if rows else []
+    return block("table", "\n".join(f"| {' | '.join(line)} |" for line in lines), None, at)
+
+
+def _capped(rows: list[list[str]], most: int | None) -> tuple[list[list[str]], int]:
+    """The header and at most ``most`` rows (all without it), and how many are left out."""
+    kept = rows if most is None else rows[: most + 1]
+    return kept, len(rows) - len(kept)
+
+
+def parse_delimited(data: bytes, delimiter: str | None = None, name: str = "", max_rows: int | None = MAX_ROWS) -> tuple[str | None, dict, list[dict]]:
+    """A sheet of values with a given or a sniffed delimiter (S17); blank rows stay."""
+    text, name = decode_text(data), name.rsplit("/", 1)[-1]
     if delimiter is None:
         try:
-            delimiter = csv.Sniffer().sniff(text[:8192], ",;|\t").delimiter
+            delimiter = csv.Sniffer().sniff(decode_text(data[:4096]), ",;|\t").delimiter
         except csv.Error:
             delimiter = ","
-    rows = list(csv.reader(io.StringIO(text), delimiter=delimiter))
-    rows = [r for r in rows if any(c.strip() for c in r)]
-    meta = {"delimiter": delimiter, "rows": len(rows), "truncated": len(rows) > MAX_ROWS + 1}
-    return None, meta, [table_block(rows[: MAX_ROWS + 1])] if rows else []
+    rows, dropped = _capped(list(csv.reader(io.StringIO(text), delimiter=delimiter)), max_rows)
+    return None, {"truncated_rows": {name: dropped}} if dropped else {}, [table_block(rows, locator("sheet", name, 1))] if rows else []
 
 
 class _Page(HTMLParser):
@@ -175,9 +199,17 @@ def _find(node: list, test: Callable[[list], bool]) -> list | None:
     return None
 
 
+def _strings(node: list) -> Iterator[str]:
+    for c in node[2]:
+        if isinstance(c, str):
+            yield c
+        elif c[0] not in CHROME:
+            yield from _strings(c)
+
+
 def _text(node: list, raw: bool = False) -> str:
-    out = "".join(c if isinstance(c, str) else "" if c[0] in CHROME else "\n" if c[0] == "br" else _text(c, True) for c in node[2])
-    return out if raw else re.sub(r"[ \t\r\f\v\n]+", " ", out).strip()
+    """The text in an element: as it stands, or its parts without white space around them, set apart by blanks."""
+    return "".join(_strings(node)) if raw else " ".join(t for x in _strings(node) if (t := x.strip()))
 
 
 def _rows(node: list) -> list[list[str]]:
@@ -231,12 +263,12 @@ def parse_html(data: bytes) -> tuple[str | None, dict, list[dict]]:
             elif name == "pre":
                 flush()
                 blocks.append(block("code", _text(c, True).strip("\n"), None, section[0]))
-            elif name in ("p", "li", "blockquote", "dt", "dd") and not _find(c, lambda n: n[0] in ("p", "li", "table", "pre", "ul", "ol")):
+            elif name in ("p", "li"):  # what lies in it is told with it
                 flush()
                 if t := _text(c):
-                    blocks.append(block("list_item" if name in ("li", "dt", "dd") else "paragraph", t, None, section[0]))
+                    blocks.append(block("list_item" if name == "li" else "paragraph", t, None, section[0]))
             elif name in ("a", "b", "i", "em", "strong", "span", "code", "sup", "sub", "u", "small", "abbr", "time", "mark", "cite", "q", "br", "img"):
-                loose.append(" " if name == "br" else _text(c, True))
+                loose.append(" " if name == "br" else f" {_text(c, True)} ")
             else:
                 flush()
                 walk(c)
@@ -312,17 +344,17 @@ def parse_pptx(data: bytes) -> tuple[str | None, dict, list[dict]]:
     return meta.get("title") or next((b["text"] for b in blocks if b["kind"] == "heading"), None), meta, blocks
 
 
-def parse_xlsx(data: bytes) -> tuple[str | None, dict, list[dict]]:
-    """A table for each sheet, capped at MAX_ROWS rows below the header; whole floats read as integers."""
+def parse_xlsx(data: bytes, max_rows: int | None = MAX_ROWS) -> tuple[str | None, dict, list[dict]]:
+    """A table for each sheet with at most ``max_rows`` rows below the header (all with None); whole floats read as integers."""
     z = zipfile.ZipFile(io.BytesIO(data))
     strings = _xml(z, "xl/sharedStrings.xml")
     shared = [_runs(e) for e in strings if _local(e) == "si"] if strings is not None else []
     rels = {_attr(e, "Id"): _attr(e, "Target") for e in _xml(z, "xl/_rels/workbook.xml.rels")}
-    blocks, sheets = [], []
+    blocks, names, dropped = [], [], {}
     for i, s in enumerate((e for e in _xml(z, "xl/workbook.xml").iter() if _local(e) == "sheet"), 1):
         target = next(v for k, v in s.attrib.items() if k.endswith("}id"))
         root = _xml(z, "xl/" + rels[target].lstrip("/").removeprefix("xl/"))
-        rows, total = [], 0
+        rows = []
         for r in (e for e in root.iter() if _local(e) == "row"):
             cells: list[str] = []
             for c in (x for x in r if _local(x) == "c"):
@@ -339,13 +371,14 @@ def parse_xlsx(data: bytes) -> tuple[str | None, dict, list[dict]]:
                     value = value.split(".")[0]
                 cells += [""] * (max(col, len(cells) + 1) - 1 - len(cells)) + [value or ""]
             if any(cells):
-                total += 1
-                if total <= MAX_ROWS + 1:
-                    rows.append(cells)
-        sheets.append({"name": s.get("name"), "rows": total, "truncated": total > MAX_ROWS + 1})
+                rows.append(cells)
+        names.append(s.get("name"))
+        rows, more = _capped(rows, max_rows)
+        if more:
+            dropped[s.get("name")] = more
         if rows:
             blocks.append(table_block(rows, locator("sheet", s.get("name"), i)))
-    return _core(z).get("title"), {"sheets": sheets}, blocks
+    return _core(z).get("title"), {"sheet_names": names} | ({"truncated_rows": dropped} if dropped else {}), blocks
 
 
 def parse_pdf(data: bytes) -> tuple[str | None, dict, list[dict]]:
@@ -358,14 +391,16 @@ def parse_pdf(data: bytes) -> tuple[str | None, dict, list[dict]]:
     return info.get("Title"), info, blocks
 
 
-PARSERS: dict[str, Callable[[bytes], tuple[str | None, dict, list[dict]]]] = {
-    "text": parse_text, "markdown": parse_markdown, "html": parse_html, "csv": parse_delimited, "tsv": lambda data: parse_delimited(data, "\t"), "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "pdf": parse_pdf,
+Parsed = tuple[str | None, dict, list[dict]]
+PARSERS: dict[str, Callable[..., Parsed]] = {
+    "text": lambda data, **_: parse_text(data), "markdown": lambda data, **_: parse_markdown(data), "html": lambda data, **_: parse_html(data), "csv": lambda data, **o: parse_delimited(data, **o), "tsv": lambda data, **o: parse_delimited(data, "\t", **o),
+    "docx": lambda data, **_: parse_docx(data), "pptx": lambda data, **_: parse_pptx(data), "xlsx": lambda data, max_rows=MAX_ROWS, **_: parse_xlsx(data, max_rows), "pdf": lambda data, **_: parse_pdf(data),
 }
 
 
-def register(name: str, parser: Callable[[bytes], tuple[str | None, dict, list[dict]]], *extensions: str) -> None:
+def register(name: str, parser: Callable[[bytes], Parsed], *extensions: str) -> None:
     """Add a format."""
-    PARSERS[name] = parser
+    PARSERS[name] = lambda data, **_: parser(data)
     EXTENSIONS.update(dict.fromkeys(extensions, name))
 
 
@@ -376,59 +411,48 @@ def from_row(x: dict) -> dict:
     return block(x["kind"], x["text"] or "", number(x["level"]), None if at is None else locator(at["kind"], at["label"], number(at["index"])))
 
 
-def render_block(b: dict) -> str:
-    """A block as it stands in a document's text; offsets of units rely on it."""
-    if b["kind"] == "heading":
-        return "#" * (b["level"] or 1) + " " + (b["text"] or "")
-    if b["kind"] == "list_item":
-        return "- " + (b["text"] or "")
-    if b["kind"] == "code":
-        return f"```\n{b['text'] or ''}\n```"
-    return b["text"] or ""
+#: How a block of each kind stands in a document's text.
+FORMS = {"heading": "{marks} {text}", "list_item": "- {text}", "code": "```\n{text}\n```"}
 
 
 def locator_heading(at: dict | None) -> str | None:
-    return f"## {LOCATOR_TITLES[at['kind']]} {at['label']}" if at and at["kind"] in LOCATOR_TITLES else None
-
-
-def layout(blocks: list[dict]) -> tuple[str, list[tuple[int, int, dict]]]:
-    """The document's text and where each block stands in it; a block's stretch includes the locator heading before it."""
-    parts, spans, at, current = [], [], 0, None
-    for b in blocks:
-        text = render_block(b)
-        if b["locator"] is not None and b["locator"] != current:
-            current = b["locator"]
-            if head := locator_heading(current):
-                text = head + "\n\n" + text
-        if parts:
-            at += 2
-        parts.append(text)
-        spans.append((at, at + len(text), b))
-        at += len(text)
-    return "\n\n".join(parts) + "\n" if parts else "", spans
+    """The heading that tells where the next blocks come from; sections have their own headings."""
+    title = LOCATOR_TITLES.get((at or {}).get("kind"))
+    return title and f"## {title} {at['label']}"
+
+
+def rendering(blocks: list[dict]) -> list[str]:
+    """The text of each block as it stands in the document's, with the heading of its place where that changes."""
+    known = [None, *accumulate((b["locator"] for b in blocks), lambda last, at: last if at is None else at)]
+    out = []
+    for b, before in zip(blocks, known, strict=False):
+        text = FORMS.get(b["kind"], "{text}").format(marks="#" * (b["level"] or 1), text=b["text"] or "")
+        head = locator_heading(b["locator"]) if b["locator"] != before else None  # headings aren't repeated
+        out.append(f"{head}\n\n{text}" if head else text)
+    return out
 
 
 def to_markdown(blocks: list[dict]) -> str:
-    return layout(blocks)[0]
+    return "\n\n".join(rendering(blocks)) + "\n" if blocks else ""
 
 
-def parse_bytes(name: str, data: bytes) -> dict:
-    """One document of a file; a parser's failure falls back to text with the error kept."""
+def parse_bytes(name: str, data: bytes, max_rows: int | None = MAX_ROWS) -> dict:
+    """One document of a file; a parser's failure falls back to text with the error kept (S12). ``max_rows``: of a sheet, None for all."""
     form, error = detect(name, data), None
     try:
-        title, meta, blocks = PARSERS[form](data)
+        title, meta, blocks = PARSERS[form](data, name=name, max_rows=max_rows)
     except Exception as e:  # noqa: BLE001 - any file may come in
-        error = f"{type(e).__name__}: {e}"[:500]
+        error = f"{form}: {type(e).__name__}: {e}"[:500]
         title, meta, blocks = parse_text(data)
     return {"path": name, "format": form, "title": title, "sha256": hashlib.sha256(data).hexdigest(), "size": len(data), "parser_error": error, "metadata": json.dumps(meta, ensure_ascii=False, sort_keys=True), "blocks": blocks, "markdown": to_markdown(blocks)}
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Every file under ``path`` as a document."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([parse_bytes(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=["path", "format", "title", "sha256", "size", "parser_error", "metadata", "blocks", "markdown"])
+            yield pd.DataFrame([parse_bytes(p, bytes(c), max_rows) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=["path", "format", "title", "sha256", "size", "parser_error", "metadata", "blocks", "markdown"])
 
     return files.mapInPandas(run, SCHEMA)

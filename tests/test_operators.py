@@ -182,19 +182,38 @@ def test_components_above_the_bound_keep_every_vertex(spark):
 def test_units_tile_the_text_and_respect_the_budget():
     texts = ["Short.", "\n\n".join(f"Paragraph {i}. " + "word " * 60 for i in range(8)), "A sentence here. " * 200, "x" * 5000, "こんにちは。" * 500, "a\r\n\r\nb\n\n\n\nc"]
     for t in texts:
-        spans = units.split_plain(t)
+        spans = units.of_text(t)
         assert spans[-1][1] == len(t)
         for (a, b), (c, _) in zip(spans, spans[1:]):
             assert b - a <= units.BUDGET + 4 and c <= b + 4 and c > a
 
 
+def test_units_of_blocks_follow_the_rules():
+    from cairn.sources import parsers
+
+    at = parsers.locator("page", "1", 1)
+    b = lambda kind, text, level=None: parsers.block(kind, text, level, at)
+    table = "\n".join(f"| row {i} | {'x' * 40} |" for i in range(60))
+    blocks = [b("paragraph", "p" * 500), b("heading", "One", 1), b("heading", "Two", 2), b("paragraph", "q" * 900), b("paragraph", "A sentence of it. " * 120), b("table", table), b("paragraph", "r" * 700), b("list_item", "s" * 400), b("heading", "Last", 2)]
+    text, got = parsers.to_markdown(blocks), units.of_blocks(blocks)
+    parts = [text[a:e] for a, e, _ in got]
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(loc == at for _, _, loc in got) and all(len(p) <= units.BUDGET + 1 for p in parts)
+    assert parts[0].endswith("# One") and parts[1].startswith("## Two\n\nqqq")  # of two headings the last goes with its block
+    prose = [p for p in parts if "sentence" in p]
+    assert len(prose) > 1 and all(p.rstrip().endswith(".") for p in prose) and all(a[-units.OVERLAP :] == z[: units.OVERLAP] for a, z in zip(prose, prose[1:]))
+    rows = [p for p in parts if p.startswith("| row")]
+    assert "\n".join(rows) == table
+    assert parts[-1].startswith("rrr") and parts[-1].endswith("## Last\n") and "sss" in parts[-1]
+    assert units.of_blocks([]) == [] and units.of_text("") == [(0, 0)]
+
+
 def test_long_texts_with_any_line_ends_are_split():
     plain = "\n\n".join(f"Paragraph {i}.\n" + "word " * 60 + f"\nend {i}." for i in range(12))
-    many = len(units.split_plain(plain))
+    many = len(units.of_text(plain))
     assert many > 3
     for end in ("\r\n", "\r", "\n"):
         t = plain.replace("\n", end)
-        spans = units.split_plain(t)
+        spans = units.of_text(t)
         assert len(spans) == many and spans[0][0] == 0 and spans[-1][1] == len(t)
         assert all(z - a <= units.BUDGET * 2 for a, z in spans) and all(t[a:].startswith("Paragraph") for a, _ in spans)
     assert units.paragraph_spans("\r\na\r\nb\r\n \r\n\rc\r\rd\n") == [(2, 6), (12, 13), (15, 16)]
@@ -205,3 +224,11 @@ def test_bm25_and_empty_query(spark):
     hits = search.lexical(docs, "Péat peat").collect()
     assert {h["doc_id"] for h in hits} == {i for i in range(10) if i % 3} and all(h["bm25"] > 0 for h in hits)
     assert search.lexical(docs, "潮汐表").count() == 0
+
+
+def test_cited_ids(spark):
+    from cairn.functions import scalars as S
+
+    texts = ["It is contested [Data: Entities (e_scaling-laws); Assertions (x_01ab)].", "One [Data: Entities (e_a)]. Two [Data: Assertions (x_b, k_c, e_a)].", "No support: e_a.", "[Data: Entities (e_a, e_b, +more)]", None]
+    got = [r["c"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.cited_ids("t").alias("c")).orderBy("i").collect()]
+    assert got == [["e_scaling-laws", "x_01ab"], ["e_a", "x_b", "k_c"], [], ["e_a", "e_b"], None]

@@ -40,6 +40,42 @@ def test_markdown_blocks():
     assert [b["kind"] for b in blocks] == ["heading", "paragraph", "list_item", "list_item", "code"]
 
 
+def test_nested_blocks_come_once_with_the_outermost():
+    page = b"<html><body><ul><li><p>alpha</p></li><li>outer<ul><li>inner</li></ul></li></ul><form><p>kept</p><button>Go</button></form></body></html>"
+    assert [(b["kind"], b["text"]) for b in parsers.parse_html(page)[2]] == [("list_item", "alpha"), ("list_item", "outer inner"), ("paragraph", "kept"), ("paragraph", "Go")]
+
+
+def test_closing_signs_of_a_heading_need_a_blank():
+    heads = [b["text"] for b in parsers.parse_markdown(b"# C#\n\n## Sub ##\n\n### a # b\n")[2]]
+    assert heads == ["C#", "Sub", "a # b"]
+
+
+@pytest.mark.parametrize("text,encoding", [("中文测试内容，这是一段足够长的文本。", "gb18030"), ("這是一個中文的測試，我們來看看。", "big5"), ("これは日本語のテストです。漢字とかな。", "shift_jis"), ("これは日本語のテストです。漢字とかな。", "euc_jp"), ("이것은 한국어 시험입니다.", "euc_kr"), ("café über señor – naïve", "cp1252"), ("héllo", "utf-8"), ("汐 x", "utf-16")])
+def test_encodings(text, encoding):
+    assert parsers.decode_text(text.encode(encoding)) == text
+
+
+def test_sheets_keep_blank_rows_and_say_where_they_come_from():
+    _, meta, blocks = parsers.parse_delimited(b"a\tb\n\t\n1\t2|3\n", "\t", "folder/t.tsv")
+    assert blocks == [parsers.block("table", "| a | b |\n| --- | --- |\n|  |  |\n| 1 | 2\\|3 |", None, {"kind": "sheet", "label": "t.tsv", "index": 1})] and meta == {}
+
+
+def test_the_row_cap_is_a_parameter_and_none_reads_all():
+    data = ("n\n" + "".join(f"{i}\n" for i in range(2050))).encode()
+    capped, whole = parsers.parse_bytes("c.csv", data), parsers.parse_bytes("c.csv", data, None)
+    assert capped["blocks"][0]["text"].count("\n") == 2001 and json.loads(capped["metadata"])["truncated_rows"] == {"c.csv": 50}
+    assert whole["blocks"][0]["text"].count("\n") == 2051 and json.loads(whole["metadata"]) == {}
+
+
+def test_rendering_repeats_no_place_and_a_format_can_be_added():
+    page = lambda i: parsers.locator("page", str(i), i)
+    blocks = [parsers.block("heading", "T", 2, page(1)), parsers.block("paragraph", "a", None, page(1)), parsers.block("list_item", "b", None, None), parsers.block("code", "c", None, page(2)), parsers.block("paragraph", "d", None, parsers.locator("section", "S", 1))]
+    assert parsers.to_markdown(blocks) == "## Page 1\n\n## T\n\na\n\n- b\n\n## Page 2\n\n```\nc\n```\n\nd\n"
+    assert parsers.to_markdown([]) == ""
+    parsers.register("shout", lambda data: (None, {}, [parsers.block("paragraph", data.decode().upper())]), "shout")
+    assert parsers.parse_bytes("x.shout", b"hi")["blocks"][0]["text"] == "HI"
+
+
 def test_office_formats():
     doc = archive({"word/document.xml": f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading9"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Text</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
     _, _, blocks = parsers.parse_docx(doc)
@@ -51,7 +87,7 @@ def test_office_formats():
     r = 'xmlns:r="http://r"'
     sheet = '<worksheet><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>3.0</v></c></row></worksheet>'
     _, meta, blocks = parsers.parse_xlsx(archive({"xl/workbook.xml": f'<workbook {r}><sheet name="S" r:id="i1"/></workbook>', "xl/_rels/workbook.xml.rels": '<x><Relationship Id="i1" Target="worksheets/sheet1.xml"/></x>', "xl/sharedStrings.xml": "<sst><si><t>k</t></si></sst>", "xl/worksheets/sheet1.xml": sheet}))
-    assert blocks[0]["text"].startswith("| k |  | 3 |") and meta["sheets"][0]["rows"] == 1
+    assert blocks[0]["text"].startswith("| k |  | 3 |") and meta == {"sheet_names": ["S"]}
 
 
 def test_delimited_sniffs_and_bad_files_fall_back(spark, tmp_path):
@@ -59,8 +95,8 @@ def test_delimited_sniffs_and_bad_files_fall_back(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(b"not a zip")
     (tmp_path / "c.txt").write_bytes("caf\xe9\n\nzwei".encode("cp1252"))
     out = {r["path"].rsplit("/", 1)[-1]: r for r in parsers.read_documents(spark, str(tmp_path)).collect()}
-    assert json.loads(out["a.csv"]["metadata"])["delimiter"] == ";"
-    assert out["b.docx"]["parser_error"].startswith("BadZipFile") and out["b.docx"]["blocks"][0]["text"] == "not a zip"
+    assert out["a.csv"]["blocks"][0]["text"] == "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |"
+    assert out["b.docx"]["parser_error"].startswith("docx: BadZipFile") and out["b.docx"]["blocks"][0]["text"] == "not a zip"
     assert out["c.txt"]["markdown"] == "café\n\nzwei\n"
 
 
