@@ -82,12 +82,6 @@ def first_line(c: Column | str, limit: int = 200) -> Column:
     return F.coalesce(F.substring(F.try_element_at(lines, F.lit(1)), 1, limit), F.lit(""))
 
 
-def first_line_plain(c: Column | str, limit: int = 200) -> Column:
-    """``first_line`` with ASCII white space and line ends only, which SQL can say too."""
-    lines = F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), strip), lambda x: x != "")
-    return F.coalesce(F.substring(F.try_element_at(lines, F.lit(1)), 1, limit), F.lit(""))
-
-
 def is_valid_date(c: Column | str) -> Column:
     """YYYY, YYYY-MM or YYYY-MM-DD of an existing day; ``unknown`` is judged by the caller. Null gives null."""
     c = F.col(c) if isinstance(c, str) else c

@@ -47,6 +47,7 @@ def fold_assertions(assertions: DataFrame, statuses: DataFrame, adoptions: DataF
     a = assertions.withColumn("_wording", F.when(F.col("type").isNull(), wording)).join(ad, "_wording", "left")
     a = a.withColumn("type", F.coalesce("type", "adopted")).drop("adopted", "_wording").drop("status")
     a = a.join(st, "id", "left").withColumn("status", status_of(F.coalesce("action", F.lit("reopen")))).drop("action")
+    a = a.withColumns({"raw_source": F.col("source"), "raw_target": F.col("target")})  # what a note itself names
     return canonical(canonical(a, "source", merges), "target", merges)
 
 
@@ -85,13 +86,13 @@ def fold_claims(claims: DataFrame, statuses: DataFrame, merges: DataFrame) -> Da
     c = claims.drop("status").join(st, "id", "left").withColumn("status", status_of(F.coalesce("action", F.lit("reopen")))).drop("action")
     old = c.filter("status = 'confirmed' and supersedes is not null").select(F.col("supersedes").alias("id")).distinct().withColumn("_over", F.lit(True))
     c = c.join(old, "id", "left").withColumn("_before", F.col("status")).withColumn("status", F.when(F.col("_over"), "superseded").otherwise(F.col("status"))).drop("_over")
-    return canonical(c, "subject", merges)
+    return canonical(c.withColumn("raw_subject", F.col("subject")), "subject", merges)
 
 
 def fold(
     notes: DataFrame, instances: DataFrame, assertions: DataFrame, claims: DataFrame, statuses: DataFrame, adoptions: DataFrame, merges: DataFrame, retired: DataFrame, edge_types: DataFrame, entity_types: list[str], write: bool = False
 ) -> Graph:
-    """The graph of a vault. ``write`` keeps assertions, edges and claims as tables, for plans that read them more than once.
+    """The graph of a vault. ``write`` keeps assertions, edges, claims, touches and entities as tables, for plans that read them more than once.
 
     notes: id, created. instances: note_id, pos, slug, type (null: untyped). assertions, claims: with note_id, text_unit_ids. Items of unknown notes are dropped."""
     order = notes.select(F.col("id").alias("note_id"), "created")
@@ -105,12 +106,14 @@ def fold(
     none = F.lit(None).cast("array<string>")
     touch = (
         instances.select("note_id", "slug", "type", F.col("pos").cast("string").alias("pos"), none.alias("units"), F.lit(True).alias("declared"), F.lit(False).alias("live"))
-        .unionByName(assertions_ends(assertions, "source", a))
-        .unionByName(assertions_ends(assertions, "target", a))
-        .unionByName(claims.select("id", F.col("subject").alias("slug"), "note_id").join(c.select("id", "_before"), "id").select("note_id", "slug", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("pos"), none.alias("units"), F.lit(False).alias("declared"), (F.col("_before") != "dismissed").alias("live")))
+        .unionByName(_touched(a, "raw_source"))
+        .unionByName(_touched(a, "raw_target"))
+        .unionByName(_touched(c.withColumn("text_unit_ids", none).withColumn("status", F.col("_before")), "raw_subject"))
     )
     touch = touch.withColumn("raw", F.col("slug")).join(order, "note_id")
     touch = canonical(touch, "slug", merges)
+    if write:
+        touch = materialize(touch, "gold-touches")
     known = F.col("type").isin(*entity_types)
     per = touch.groupBy("slug").agg(
         F.max_by(F.when(known, F.col("type")), F.when(known, F.struct("created", "note_id", "pos"))).alias("type"),
@@ -121,6 +124,8 @@ def fold(
     per = per.join(gone, "slug", "left").withColumn("_retired", F.coalesce("_retired", F.lit(False)))
     kept = per.filter("live or (declared and not _retired)").join(degree(edges), "slug", "left")
     entities = kept.select("slug", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank"), "declared")
+    if write:
+        entities = materialize(entities, "gold-entities")
     revived = per.filter("live and _retired").select("slug")
     own = entities.select("slug")
     entity_notes = touch.select("slug", "note_id").distinct().join(own, "slug", "left_semi")
@@ -129,11 +134,10 @@ def fold(
     return Graph(entities, a, edges, c.drop("_before"), revived, edge_members(a, edge_types), entity_notes, entity_units, merged_from)
 
 
-def assertions_ends(raw: DataFrame, end: str, folded: DataFrame) -> DataFrame:
-    """What one end of each assertion touches, under its name before merges."""
-    own = raw.select("id", F.col(end).alias("slug"), "note_id", F.col("text_unit_ids").alias("units"))
-    own = own.join(folded.select("id", "status"), "id")
-    return own.select("note_id", "slug", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("pos"), "units", F.lit(False).alias("declared"), (F.col("status") != "dismissed").alias("live"))
+def _touched(items: DataFrame, name: str) -> DataFrame:
+    """What items touch under the name that they give; dismissed ones don't keep it alive."""
+    none = F.lit(None).cast("string")
+    return items.select("note_id", F.col(name).alias("slug"), none.alias("type"), none.alias("pos"), F.col("text_unit_ids").alias("units"), F.lit(False).alias("declared"), (F.col("status") != "dismissed").alias("live"))
 
 
 def quarantine(notes: DataFrame, items: DataFrame, edge_types: DataFrame) -> DataFrame:

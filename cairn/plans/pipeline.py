@@ -47,15 +47,18 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, kind string").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@R.add("F13_rendered", "SELECT d.doc_id, length(rtrim(d.text, chr(10))) AS n_chars FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM blocks)")
+@R.add("F13_rendered", """WITH b AS (SELECT *, last_value(locator IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal, kind, text, level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM blocks WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, length(coalesce(text, '')) + CASE kind WHEN 'heading' THEN 1 + CASE WHEN coalesce(level, 0) = 0 THEN 1 ELSE level END WHEN 'list_item' THEN 2 WHEN 'code' THEN 8 ELSE 0 END
+  + CASE WHEN locator.kind IN ('page', 'slide', 'sheet', 'line') AND locator IS DISTINCT FROM before THEN length('## ' || locator.kind || ' ' || locator.label) + 2 ELSE 0 END AS n FROM b)
+SELECT doc_id, CAST(sum(n) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM p GROUP BY doc_id""")
 def f13(spark: SparkSession, d: str) -> DataFrame:
-    """Length of the rendering of each document's blocks, which is the document's text; these tables render no locator headings."""
+    """Length of the rendering of each document's blocks, with the headings of their places."""
     b = table(spark, d, "blocks").filter("doc_id is not null")
     docs = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "text", "level", "locator"))).alias("b"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": [len(parsers.to_markdown([parsers.from_row(y) | {"locator": None} for y in x]).rstrip("\n")) for x in pdf["b"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": [len(parsers.to_markdown([parsers.from_row(y) for y in x])) - 1 for x in pdf["b"]]})
 
     return docs.mapInPandas(run, "doc_id long, n_chars long")
 
@@ -219,17 +222,8 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
     return low.agg(F.sha2(ordered(["bucket", "h"]), 256).alias("signature"))
 
 
-@R.add("W7_next_in_queue", f"WITH {GRAPH_SQL}, q AS (SELECT id, strength, row_number() OVER (ORDER BY strength DESC NULLS LAST, id) AS place FROM fa WHERE status = 'proposed' ORDER BY place LIMIT 100) SELECT id, coalesce(lead(id) OVER (ORDER BY place), first_value(id) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_id FROM q")
+@R.add("W7_next_in_queue", f"WITH {GRAPH_SQL}, q AS (SELECT id, row_number() OVER (ORDER BY strength DESC NULLS LAST, id) AS place FROM fa WHERE status = 'proposed') SELECT id, coalesce(lead(id) OVER (ORDER BY place), first_value(id) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_id FROM q")
 def w7(spark: SparkSession, d: str) -> DataFrame:
-    """The item after each of the hundred first of the queue, as its SQL says; ``W7_next_in_queue_all`` walks the whole queue."""
-    g, _ = folded(spark, d)
-    order = [F.desc_nulls_last("strength"), F.col("id")]
-    q = g.assertions.filter("status = 'proposed'").orderBy(*order).limit(100)  # the queue's own page
-    return q.select("id", F.coalesce(F.lead("id").over(Window.orderBy(*order)), F.first("id").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_id"))
-
-
-@R.add("W7_next_in_queue_all")
-def w7_all(spark: SparkSession, d: str) -> DataFrame:
     """The item after each one of the whole queue, the first again after the last."""
     g, _ = folded(spark, d)
     pending = materialize(g.assertions.filter("status = 'proposed'").select("id", "strength"), "queue")

@@ -124,18 +124,18 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
     return logfolds.dismissal_reasons(vault(spark, d)["decisions"])
 
 
-_RETIRE = "SELECT event_id AS seq, 's' || (user_id % 997) AS slug, CASE event_type WHEN 'error' THEN 'retire' WHEN 'signup' THEN 'restore' END AS action FROM events"
+_RETIRE = "SELECT event_id AS seq, 's' || user_id AS slug, CASE event_type WHEN 'error' THEN 'retire' WHEN 'signup' THEN 'restore' END AS action FROM events"
 
 
 @R.add("A7_retired", f"WITH log AS ({_RETIRE}) SELECT slug FROM log WHERE action IS NOT NULL GROUP BY 1 HAVING arg_max(action, seq) = 'retire'")
 def a7(spark: SparkSession, d: str) -> DataFrame:
     """Slugs that stand retired, over a log made of the events."""
     e = table(spark, d, "events")
-    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("s"), F.col("user_id") % 997).alias("slug"), F.when(F.col("event_type") == "error", "retire").when(F.col("event_type") == "signup", "restore").alias("action"))
+    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("s"), "user_id").alias("slug"), F.when(F.col("event_type") == "error", "retire").when(F.col("event_type") == "signup", "restore").alias("action"))
     return logfolds.retired(log)
 
 
-_MERGE = """ev AS (SELECT event_id AS seq, 'd' || (user_id % 97) AS duplicate, 'd' || ((user_id * 31 + event_id) % 97) AS canonical,
+_MERGE = """ev AS (SELECT event_id AS seq, 'd' || user_id AS duplicate, 'd' || (user_id // 2 + event_id % 3) AS canonical,
     CASE event_type WHEN 'purchase' THEN 'merge' WHEN 'error' THEN 'unmerge' WHEN 'signup' THEN 'keep' END AS action FROM events),
 mlog AS (SELECT *, least(duplicate, canonical) AS a, greatest(duplicate, canonical) AS b FROM ev WHERE action IS NOT NULL AND duplicate <> canonical),
 lm AS (SELECT duplicate, arg_max(canonical, seq) AS canonical, max(seq) AS at FROM mlog WHERE action = 'merge' GROUP BY 1),
@@ -146,7 +146,7 @@ mp AS (SELECT l.duplicate, l.canonical FROM lm l WHERE NOT EXISTS (SELECT 1 FROM
 def _merge_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     action = F.when(F.col("event_type") == "purchase", "merge").when(F.col("event_type") == "error", "unmerge").when(F.col("event_type") == "signup", "keep")
-    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("d"), F.col("user_id") % 97).alias("duplicate"), F.concat(F.lit("d"), (F.col("user_id") * 31 + F.col("event_id")) % 97).alias("canonical"), action.alias("action"))
+    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("d"), "user_id").alias("duplicate"), F.concat(F.lit("d"), F.floor(F.col("user_id") / 2) + F.col("event_id") % 3).alias("canonical"), action.alias("action"))
     return log.filter("action is not null and duplicate <> canonical")
 
 
@@ -168,12 +168,12 @@ def g3(spark: SparkSession, d: str) -> DataFrame:
     return logfolds.flatten_merges(logfolds.merges(_merge_log(spark, d))[0])
 
 
-@R.add("A9_pending_operations", "SELECT DISTINCT 'op' || (event_id % 3001) AS op FROM events WHERE event_type = 'signup' AND event_id % 3001 NOT IN (SELECT event_id % 3001 FROM events WHERE event_type = 'purchase')")
+@R.add("A9_pending_operations", "SELECT DISTINCT 'op' || user_id AS op FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def a9(spark: SparkSession, d: str) -> DataFrame:
     """Operations begun without a commit, over a log made of the events."""
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "signup", "op.begin").when(F.col("event_type") == "purchase", "op.commit")
-    return logfolds.pending(e.select(kind.alias("kind"), F.concat(F.lit("op"), F.col("event_id") % 3001).alias("op")))
+    return logfolds.pending(e.select(kind.alias("kind"), F.concat(F.lit("op"), "user_id").alias("op")))
 
 
 @R.add("G1_assertions", f"WITH {GRAPH_SQL} SELECT id, note_id, source, target, type, status, strength FROM fa")
@@ -456,15 +456,13 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("title is not null").select("doc_id", S.slugify("title").alias("slug"))
 
 
-@R.add("P1_first_lines", r"SELECT doc_id, coalesce(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1][:80], '') AS line FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')")
-def p1_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The first line of ASCII documents, as far as the SQL goes; ``P1_first_lines_all`` has every text."""
-    return table(spark, d, "documents").filter("text is not null").filter(F.col("text").rlike(r"^\p{ASCII}*\z")).select("doc_id", S.first_line_plain("text", 80).alias("line"))
+_SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_FIRST_LINE = r"coalesce(list_filter(list_transform(string_split_regex({0}, '\r\n|[\n\x0B\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{2}+|{2}+$', '', 'g')), lambda x: x <> '')[1][:{1}], '')"
 
 
-@R.add("P1_first_lines_all")
-def p1_lines_all(spark: SparkSession, d: str) -> DataFrame:
-    """The first line of every text."""
+@R.add("P1_first_lines", f"SELECT doc_id, {_FIRST_LINE.format('text', 80, _SPACES)} AS line FROM documents WHERE text IS NOT NULL")
+def p1_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first line of every text, with Unicode's white space and line ends."""
     return table(spark, d, "documents").filter("text is not null").select("doc_id", S.first_line("text", 80).alias("line"))
 
 
@@ -554,18 +552,13 @@ def drift(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return j.select(F.coalesce("_s", "_c").alias(key), change.alias("change")).filter("change is not null")
 
 
-@R.add("K11_catalog", f"WITH {GRAPH_SQL} SELECT string_agg('- [[' || slug || ']] (' || type || ', ' || rank || ')', chr(10) ORDER BY rank DESC, slug) AS page FROM (SELECT * FROM en ORDER BY rank DESC, slug LIMIT 200)")
+@R.add("K11_catalog", f"""WITH {GRAPH_SQL}, c AS (SELECT (SELECT count(DISTINCT capture_id) FROM text_units) AS c, (SELECT count(*) FROM n0) AS n, (SELECT count(*) FROM en) AS e)
+SELECT 0 AS part, unnest(range(6)) AS place, unnest(['# Index', '', c.c || ' captures · ' || c.n || ' notes · ' || c.e || ' entities', '', '## Notes', '']) AS line FROM c
+UNION ALL SELECT 1, row_number() OVER (ORDER BY created NULLS FIRST, id NULLS FIRST) - 1, '- `' || coalesce(id, '') || '` ' || coalesce(created, '')[:10] || ' — ' || {_FIRST_LINE.format("coalesce(body, '')", 120, _SPACES)} FROM n0
+UNION ALL SELECT 2, unnest(range(3)), unnest(['', '## Entities', ''])
+UNION ALL SELECT 3, row_number() OVER (ORDER BY rank DESC, slug) - 1, '- [[' || slug || ']] — ' || type || ', rank ' || rank FROM en""")
 def k11(spark: SparkSession, d: str) -> DataFrame:
-    """The first page of the catalog, two hundred entities as its SQL says (O8); ``K11_catalog_all`` has the whole of it."""
-    top = folded(spark, d)[0].entities.orderBy(F.desc("rank"), "slug").limit(200)
-    line = F.concat(F.lit("- [["), "slug", F.lit("]] ("), "type", F.lit(", "), "rank", F.lit(")"))
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "slug", line.alias("line"))))
-    return top.agg(rows.alias("l")).select(F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("page"))
-
-
-@R.add("K11_catalog_all")
-def k11_all(spark: SparkSession, d: str) -> DataFrame:
-    """The whole catalog (O9): part (head, notes, heading, entities as 0 to 3), place in the part, line. Captures are those that the text units name."""
+    """The catalog of all notes and entities with their counts (O8, O9): part (head, notes, heading, entities as 0 to 3), place in the part, line. Captures are those that the text units name."""
     g, v = folded(spark, d)
     e = materialize(g.entities.select("slug", "type", "rank"), "catalog")
     n = materialize(v["notes"].select("id", "created", S.first_line("body", 120).alias("first")), "catalog")
