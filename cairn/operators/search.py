@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import fold_accents, snippet
 from cairn.operators.graph import undirected
-from cairn.session import materialize
+from cairn.session import discard, materialize, new_path, partitions
 
 K1, B, DEPTH, RRF, RESULTS = 1.2, 0.75, 40, 60, 8
 BM25_FLOOR, COSINE_FLOOR = 2.0, 0.35
@@ -67,6 +69,48 @@ def lexical(docs: DataFrame, query: str, kinds: list[str] | None = None, limit:
     return found.orderBy(F.desc("bm25"), "doc_id").limit(limit)
 
 
+class Index:
+    """Postings on disk (R1, A15): (term, doc_id, kind, tf, len) in ``buckets`` folders by the term's hash, and one row of corpus statistics.
+
+    Built in one pass; a query reads only the folders of its terms, so its cost follows their postings and not the corpus. A common term is
+    split over files like any large folder. Documents of null title and text count in the statistics with no terms.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root or new_path(spark, "index"), buckets
+
+    def build(self, docs: DataFrame) -> Index:
+        base = materialize(docs.select("doc_id", "kind", tokens("title", "text").alias("_t")).withColumn("len", F.size("_t")), "index-tokens")
+        posted = base.select("doc_id", "kind", "len", F.explode("_t").alias("term")).groupBy("term", "doc_id", "kind", "len").agg(F.count("*").alias("tf"))
+        posted = posted.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(self.buckets)).cast("int"))
+        posted.repartition(partitions(self.spark), "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/postings")
+        base.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).write.parquet(f"{self.root}/statistics")
+        discard(base)
+        return self
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: the folders are pruned by hash."""
+        buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        return self.spark.read.schema("term string, doc_id long, kind string, tf long, len int, bucket int").parquet(f"{self.root}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+    def lexical(self, query: str, kinds: list[str] | None = None, limit: int = DEPTH) -> DataFrame:
+        """As ``lexical``, from the postings."""
+        asked = Counter(terms_of(query))
+        if not asked:
+            return self.spark.createDataFrame([], "doc_id long, kind string, bm25 double")
+        p = self.postings(sorted(asked))
+        stats = self.spark.read.parquet(f"{self.root}/statistics")  # one row
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        df = p.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term asked
+        times = F.create_map(*(F.lit(x) for pair in asked.items() for x in pair))[F.col("term")]
+        weight = df.join(F.broadcast(stats)).select("term", "avg", (F.when(idf > 0, idf).otherwise(1e-6) * times).alias("w"))
+        tf = F.col("tf").cast("double")
+        part = F.col("w") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.greatest("avg", F.lit(1e-9))))
+        found = p.join(F.broadcast(weight), "term").groupBy("doc_id", "kind").agg(F.greatest(F.sum(part), F.lit(0.0)).alias("bm25"))
+        found = found if kinds is None else found.filter(F.col("kind").isin(kinds))
+        return found.orderBy(F.desc("bm25"), "doc_id").limit(limit)
+
+
 def cosine(vectors: DataFrame, query: list[float], key: str = "vec_id") -> DataFrame:
     """``key`` and the cosine of every vector with the query (F7): one matrix product for each Arrow batch. Null vectors are left out, zero vectors have 0."""
     q = np.asarray(query, np.float64)

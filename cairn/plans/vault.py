@@ -362,6 +362,12 @@ def r1(spark: SparkSession, d: str) -> DataFrame:
     return search.lexical(_docs(spark, d), QUERY).withColumn("bm25", F.round("bm25", 6))
 
 
+@R.add("R1_indexed", f"WITH {_bm25_sql()} SELECT doc_id, kind, round(bm25, 6) AS bm25 FROM lex")
+def r1_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from postings: the index is built, then the query reads the folders of its terms."""
+    return search.Index(spark).build(_docs(spark, d)).lexical(QUERY).withColumn("bm25", F.round("bm25", 6))
+
+
 _QV = "qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 _VEC = f"{_QV}, vec AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS cosine FROM embeddings, qv ORDER BY cosine DESC, vec_id LIMIT 40)"
 

@@ -232,3 +232,35 @@ def test_cited_ids(spark):
     texts = ["It is contested [Data: Entities (e_scaling-laws); Assertions (x_01ab)].", "One [Data: Entities (e_a)]. Two [Data: Assertions (x_b, k_c, e_a)].", "No support: e_a.", "[Data: Entities (e_a, e_b, +more)]", None]
     got = [r["c"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.cited_ids("t").alias("c")).orderBy("i").collect()]
     assert got == [["e_scaling-laws", "x_01ab"], ["e_a", "x_b", "k_c"], [], ["e_a", "e_b"], None]
+
+
+def test_postings_give_the_same_and_read_only_their_terms(spark):
+    docs = spark.createDataFrame([(i, ["note", "report"][i % 2], f"title {i}", "peat core " * (i % 3) + "weather kite survey " + "filler " * i) for i in range(30)] + [(30, "note", None, None)], "doc_id long, kind string, title string, text string")
+    index = search.Index(spark).build(docs)
+    for query, kinds in (("peat kite peat", None), ("core filler nowhere", ["report"])):
+        want = [(r["doc_id"], round(r["bm25"], 9)) for r in search.lexical(docs, query, kinds).collect()]
+        assert [(r["doc_id"], round(r["bm25"], 9)) for r in index.lexical(query, kinds).collect()] == want
+    assert index.lexical("潮汐表").count() == 0 and index.lexical("nowhere").count() == 0
+    plan = index.postings(["peat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan, plan
+    assert search.Index(spark).build(docs.limit(0)).lexical("peat").count() == 0
+
+
+def test_reports_by_relevance_then_rank_then_id(spark):
+    reports = spark.createDataFrame([("g1", "gates", "the sluice gate and the sluice", 1.0, False), ("g2", "kites", "weather kite", 9.0, True), ("g3", "silos", "grain silo", 3.0, False), ("g4", None, None, None, None)], "lineage_id string, title string, summary string, rank double, stale boolean").filter("lineage_id <> 'g4'")
+    communities = spark.createDataFrame([(f"g{i}",) for i in range(1, 5)], "lineage_id string")
+    got = [(r["lineage_id"], r["state"], round(r["relevance"], 9)) for r in search.global_search(reports, communities, "sluice gate").collect()]
+    assert got == [("g1", "present", round(1 / 61 + 1e-6, 9)), ("g2", "stale", 9e-6), ("g3", "present", 3e-6), ("g4", "missing", 0.0)]
+    assert [r["lineage_id"] for r in search.global_search(reports, communities, "潮汐表").collect()] == ["g2", "g3", "g1", "g4"]
+    assert search.global_search(reports.limit(0), communities, "sluice").filter("state = 'missing'").count() == 4
+
+
+def test_community_hashes_follow_their_members(spark):
+    found = lambda rows: spark.createDataFrame(rows, "id string, level int, parent string, members array<string>")
+    hashes = lambda rows: spark.createDataFrame(rows, "slug string, input_hash string")
+    run = lambda f, h: {r["id"]: r["input_hash"] for r in cluster.community_hashes(found(f), hashes(h)).collect()}
+    one = run([("g1", 0, None, ["a", "b"]), ("g2", 0, None, ["c"])], [("a", "1"), ("b", "2"), ("c", "3")])
+    assert set(one) == {"g1", "g2"} and one["g1"] != one["g2"]
+    assert run([("g1", 0, None, ["b", "a"]), ("g2", 0, None, ["c"])], [("c", "3"), ("b", "2"), ("a", "1")]) == one  # whatever the order
+    changed = run([("g1", 0, None, ["a", "b"]), ("g2", 0, None, ["c"])], [("a", "1"), ("b", "changed"), ("c", "3")])
+    assert changed["g1"] != one["g1"] and changed["g2"] == one["g2"]
