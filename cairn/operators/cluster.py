@@ -233,9 +233,12 @@ def _divide(e: DataFrame, seed: int, level: int, max_edges: int) -> tuple[DataFr
 
 
 def community_hashes(found: DataFrame, entity_hashes: DataFrame) -> DataFrame:
-    """id, input_hash of communities from the evidence hashes of their members, in order."""
-    m = found.select("id", F.explode("members").alias("slug")).join(entity_hashes, "slug", "left")
-    lines = F.array_sort(F.collect_list(F.struct("slug", F.coalesce("input_hash", F.lit("None")).alias("h"))))
-    return m.groupBy("id").agg(lines.alias("l")).select("id", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws("=", x["slug"], x["h"])), "\n"), 256)).alias("input_hash"))
-
+    """id, input_hash of communities from the evidence hashes of their members, in order.
 
+    A tree of two levels: members are hashed in order within each of 4,096 buckets of their names, then the buckets, so no task
+    holds a whole community.
+    """
+    m = found.select("id", F.explode("members").alias("slug")).join(entity_hashes, "slug", "left")
+    ordered = lambda *c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: F.concat_ws("=", x[c[0]], x[c[1]])), "\n")
+    low = m.withColumn("h", F.coalesce("input_hash", F.lit("None"))).groupBy("id", F.substring(F.md5("slug"), 1, 3).alias("bucket")).agg(F.sha2(ordered("slug", "h"), 256).alias("b"))
+    return low.groupBy("id").agg(F.concat(F.lit("sha256:"), F.sha2(ordered("bucket", "b"), 256)).alias("input_hash"))

@@ -139,14 +139,24 @@ def signature_findings(assertions: DataFrame, entities: DataFrame, rules: DataFr
     return a.filter(~forward).select("id", F.when(backward, "reverse").otherwise("mismatch").alias("finding"))
 
 
-def lineage_pairs(fresh: DataFrame, previous: DataFrame) -> DataFrame:
-    """Pairs of communities (id, level, members) of one level that share members, with their Jaccard index (J17, A17): an equi-join on (level, member)."""
-    f = fresh.select("level", F.col("id").alias("fresh"), F.size("members").alias("nf"), F.explode("members").alias("m"))
-    p = previous.select("level", F.col("id").alias("previous"), F.size("members").alias("np"), F.explode("members").alias("m"))
-    both = f.join(p, ["level", "m"]).groupBy("level", "fresh", "previous", "nf", "np").agg(F.count("*").alias("common"))
+def overlaps(fresh: DataFrame, previous: DataFrame) -> DataFrame:
+    """level, fresh, previous, score: the Jaccard index of groups (level, id, m: a member a row) of one level that share members.
+
+    An equi-join on (level, member); sizes are counted, so no row holds a group.
+    """
+    f, p = fresh.select("level", F.col("id").alias("fresh"), "m").distinct(), previous.select("level", F.col("id").alias("previous"), "m").distinct()
+    nf, np_ = f.groupBy("level", "fresh").agg(F.count("*").alias("nf")), p.groupBy("level", "previous").agg(F.count("*").alias("np"))
+    both = f.join(p, ["level", "m"]).groupBy("level", "fresh", "previous").agg(F.count("*").alias("common"))
+    both = both.join(nf, ["level", "fresh"]).join(np_, ["level", "previous"])
     return both.select("level", "fresh", "previous", (F.col("common") / (F.col("nf") + F.col("np") - F.col("common"))).alias("score"))
 
 
+def lineage_pairs(fresh: DataFrame, previous: DataFrame) -> DataFrame:
+    """``overlaps`` of communities (id, level, members)."""
+    long_ = lambda df: df.select("level", "id", F.explode("members").alias("m"))
+    return overlaps(long_(fresh), long_(previous))
+
+
 def match_lineages(fresh: DataFrame, previous: DataFrame, floor: float = 0.5) -> DataFrame:
     """fresh, previous matched one to one, greedily by (score descending, fresh, previous), within each level.
 

@@ -39,10 +39,10 @@ def entities(items: DataFrame, types: list[str]) -> DataFrame:
 
 
 def relationships(items: DataFrame) -> DataFrame:
-    """source, target, strength, text_unit_ids, allowed -> reason (V2). A missing strength counts as 5."""
+    """source, target, strength, and foreign (whether some cited unit isn't the note's own, V4) or text_unit_ids and allowed -> reason (V2). A missing strength counts as 5."""
     strength = F.coalesce("strength", F.lit(5))
     reason = _first(
-        (_blank("source") | _blank("target"), "missing_field"), (~strength.between(*STRENGTH), "bad_strength"), ((_slug("source") == "") | (_slug("target") == ""), "empty_slug"), (_slug("source") == _slug("target"), "self_loop"), (_foreign("text_unit_ids", "allowed"), "unknown_text_unit")
+        (_blank("source") | _blank("target"), "missing_field"), (~strength.between(*STRENGTH), "bad_strength"), ((_slug("source") == "") | (_slug("target") == ""), "empty_slug"), (_slug("source") == _slug("target"), "self_loop"), (F.coalesce("foreign", F.lit(False)) if "foreign" in items.columns else _foreign("text_unit_ids", "allowed"), "unknown_text_unit")
     )
     return items.withColumn("strength", strength).withColumn("reason", reason)
 

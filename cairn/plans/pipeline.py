@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators import changefeed, cluster, fold, graph, logfolds, search, units, validate
+from cairn.operators import changefeed, cluster, fold, graph, logfolds, references, search, units, validate
 from cairn.plans.common import Registry, table
 from cairn.plans.vault import ENTITY_TYPES, GRAPH_SQL, QUERY, evidence_hashes, folded, vault
 from cairn.session import global_index, materialize, new_path
@@ -100,10 +100,11 @@ SELECT 'relationship' AS kind, reason, count(*) AS n, min(id) AS example FROM j
 def v2(spark: SparkSession, d: str) -> DataFrame:
     """Drops of the relationship rules by reason; units must belong to the note's own capture (V4)."""
     v = vault(spark, d)
-    own = table(spark, d, "text_units").filter("capture_id is not null").groupBy("capture_id").agg(F.collect_set("id").alias("allowed"))
+    own = table(spark, d, "text_units").filter("capture_id is not null").select(F.col("id").alias("unit"), "capture_id").distinct()
     notes = v["notes"].select(F.col("id").alias("note_id"), F.col("derived_from").alias("capture_id"))
-    a = v["assertions"].join(notes, "note_id", "left").join(own, "capture_id", "left")
-    return validate.ledger(validate.relationships(a), "relationship")[1]
+    cited = v["assertions"].select("id", "note_id", F.explode("text_unit_ids").alias("unit")).join(notes, "note_id", "left").select("id", "unit", "capture_id")
+    foreign = references.orphans(cited, own, {"unit": "unit", "capture_id": "capture_id"}, "full").select("id").distinct().withColumn("foreign", F.lit(True))
+    return validate.ledger(validate.relationships(v["assertions"].join(foreign, "id", "left")), "relationship")[1]
 
 
 _VALID = r"(regexp_full_match({0}, '\d{{4}}') OR (regexp_full_match({0}, '\d{{4}}-\d{{2}}') AND {0}[6:7] BETWEEN '01' AND '12') OR (regexp_full_match({0}, '\d{{4}}-\d{{2}}-\d{{2}}') AND TRY_CAST({0} AS DATE) IS NOT NULL))"
@@ -178,10 +179,10 @@ SELECT 0 AS level, fresh, previous, round(c / ((SELECT count(*) FROM f WHERE f.i
 def j17(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard index of two groupings of the entities, by type and by rank."""
     e = table(spark, d, "entities")
-    group = lambda df, i: df.groupBy(i.alias("id")).agg(F.collect_list("slug").alias("members")).withColumn("level", F.lit(0))
+    group = lambda df, i: df.select(F.lit(0).alias("level"), i.alias("id"), F.col("slug").alias("m"))
     f = group(e, F.concat(F.lit("f"), F.coalesce("type", F.lit("?"))))
     p = group(e.filter("rank is not null"), F.concat(F.lit("p"), F.col("rank") % 5))
-    return graph.lineage_pairs(f, p).withColumn("score", F.round("score", 9))
+    return graph.overlaps(f, p).withColumn("score", F.round("score", 9))
 
 
 @R.add("J20_dismissed_pairs", f"""WITH {GRAPH_SQL}, log AS (SELECT seq, assertion, lower(trim(action)) AS action, reason FROM decisions),
