@@ -71,6 +71,34 @@ def scan(spark: SparkSession, path: str, require: tuple[str, ...] = ("id",), mod
     return rows.filter("error is null") if mode == "drop" else rows
 
 
+def typed(rows: DataFrame, schema: str) -> DataFrame:
+    """Records as columns of ``schema`` (S6), with path and body; what a record lacks or says in another type is null. Unparsed rows are left out."""
+    r = rows.filter("error is null").select("path", "body", F.from_json("record", schema).alias("_r"))
+    return r.select("path", "_r.*", "body")
+
+
+#: The version of the exported graph that is read, and the shape of its edges.
+GRAPH_VERSION = 1
+EDGES = "array<struct<key:string,source:string,target:string,type:string,weight:bigint,traversable:boolean,assertions:array<struct<id:string,status:string,note_id:string,strength:int>>>>"
+
+
+def write_graph(edges: DataFrame, path: str) -> None:
+    """The exported graph (K10, K12) as JSON lines, one edge a line with the version, so neither writing nor reading gathers it in one task."""
+    edges.select(F.lit(GRAPH_VERSION).alias("version"), *(c for c in edges.columns)).write.mode("overwrite").json(path)
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of an exported graph (S25): of JSON lines, or of one document with an array of edges. Another version raises."""
+    lines = spark.read.text(path, wholetext=False)
+    one = F.from_json("value", f"version int, key string, edges {EDGES}")
+    edge = F.from_json("value", "key string, source string, target string, type string, weight bigint, traversable boolean, assertions array<struct<id:string,status:string,note_id:string,strength:int>>")
+    rows = lines.filter(F.trim("value") != "").select(one.alias("_g"), edge.alias("_e"))
+    bad = F.raise_error(F.concat(F.lit("unsupported graph version "), F.coalesce(F.col("_g.version").cast("string"), F.lit("none"))))
+    rows = rows.filter(F.when(F.col("_g.version") == GRAPH_VERSION, True).otherwise(bad.cast("boolean")))
+    edges = F.when(F.col("_g.edges").isNotNull(), F.col("_g.edges")).otherwise(F.array("_e"))
+    return rows.select(F.explode(edges).alias("_e")).select("_e.*")
+
+
 def split_repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with the first path of each id, and the repeats."""
     n = F.row_number().over(Window.partitionBy("id").orderBy("path"))
@@ -107,14 +135,17 @@ def atomic_write(path: str | Path, text: str) -> None:
 def swap_write(path: str | Path, text: str, seen: str | None) -> None:
     """Write only if the file still has the content hash ``seen``; None: it must not exist (K2)."""
     path = Path(path)
-    if seen is None:
-        path.parent.mkdir(parents=True, exist_ok=True)
+    if seen is None:  # a finished file is linked into place, so no reader sees half of it
+        if path.exists():
+            raise Conflict(f"{path} exists")
+        whole = path.with_name(f".{path.name}.{os.getpid()}.new")
+        atomic_write(whole, text)
         try:
-            fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            os.link(whole, path)
         except FileExistsError:
             raise Conflict(f"{path} exists") from None
-        with os.fdopen(fd, "w", encoding="utf-8", newline="") as f:
-            f.write(text)
+        finally:
+            whole.unlink(missing_ok=True)
         return
     if not path.exists() or content_hash(path.read_text(encoding="utf-8")) != seen:
         raise Conflict(f"{path} has changed")

@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from cairn.sources import embed, logs, parsers, vault
+from cairn.sources import config, embed, logs, parsers, vault
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -148,3 +148,43 @@ def test_stub_embeddings_are_unit_and_stable(spark):
     assert v[0] == v[1] != v[2] and abs(sum(x * x for x in v[0]) - 1) < 1e-5
     with pytest.raises(ValueError):
         embed.embedder("cloud")
+
+
+CONFIG = """---
+schema_version: 1
+entity_types: [person, paper]
+edge_types:
+  cites: {directed: true, cluster_weight: 1, domain: [paper], range: [paper]}
+  knows: {directed: false, cluster_weight: 0.5, domain: [person]}
+thresholds: {cluster_activation_entities: 150, abstain_bm25_floor: 2.0, abstain_cosine_floor: 0.35, community_lineage_jaccard: 0.5}
+embedder: {kind: stub}
+---
+## Extraction
+"""
+
+
+def test_configuration_tells_all_faults_at_once(spark):
+    c = config.parse(CONFIG)
+    assert c.thresholds["duplicate_cosine_floor"] == 0.92 and c.templates == "## Extraction\n"
+    assert [tuple(r) for r in c.edges(spark).collect()] == [("cites", False, 1.0, ["paper"], ["paper"]), ("knows", True, 0.5, ["person"], None)]
+    broken = CONFIG.replace("directed: true, cluster_weight: 1", "directed: 1, cluster_weight: heavy, colour: red").replace("domain: [person]", "domain: [robot], range: [paper]").replace("abstain_bm25_floor: 2.0, ", "odd: 1, ").replace("schema_version: 1", "schema_version: 7")
+    with pytest.raises(config.ConfigError) as e:
+        config.parse(broken)
+    for part in ("directed is no boolean", "cluster_weight is no number", "unknown colour", "names unknown robot", "symmetric", "misses abstain_bm25_floor", "unknown odd", "schema_version 7"):
+        assert part in str(e.value)
+
+
+def test_typed_records_and_exported_graph(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.md").write_text("---\nid: n_1\nstrength: 3\ntags: [x, y]\n---\nbody")
+    (tmp_path / "v" / "b.md").write_text("---\nid: [\n---\nbroken")
+    rows = vault.typed(vault.scan(spark, str(tmp_path / "v")), "id string, strength int, tags array<string>, gone string").collect()
+    assert [(r["id"], r["strength"], r["tags"], r["gone"], r["body"]) for r in rows] == [("n_1", 3, ["x", "y"], None, "body")]
+    edges = spark.createDataFrame([("k1", "a", "b", "cites", 2, True), ("k2", "b", "c", "knows", 0, False)], "key string, source string, target string, type string, weight long, traversable boolean")
+    vault.write_graph(edges, f"file://{tmp_path}/graph")
+    assert sorted(r["key"] for r in vault.read_graph(spark, f"file://{tmp_path}/graph").collect()) == ["k1", "k2"]
+    (tmp_path / "one.json").write_text(json.dumps({"version": 1, "edges": [{"key": "k1", "source": "a", "target": "b", "type": "cites", "weight": 1, "traversable": True, "assertions": [{"id": "x_1", "status": "confirmed"}]}]}))
+    assert vault.read_graph(spark, str(tmp_path / "one.json")).first()["assertions"][0]["id"] == "x_1"
+    (tmp_path / "two.json").write_text('{"version": 2, "edges": []}')
+    with pytest.raises(Exception, match="unsupported graph version 2"):
+        vault.read_graph(spark, str(tmp_path / "two.json")).collect()
