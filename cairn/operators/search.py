@@ -159,6 +159,18 @@ def gate(hits: DataFrame, bm25_floor: float = BM25_FLOOR, cosine_floor: float =
     return hits.withColumn("evident", F.max(F.coalesce(passes, F.lit(False))).over(Window.partitionBy(F.lit(1))))  # k rows
 
 
+def shown(hits: DataFrame) -> DataFrame:
+    """The hits of ``local_search`` that are given: all of them if any passes a floor, else none."""
+    return hits.filter("evident")
+
+
+def signals(hits: DataFrame, bm25_floor: float = BM25_FLOOR, cosine_floor: float = COSINE_FLOOR) -> DataFrame:
+    """One row about the hits (A14): how many, their greatest scores, and the note that goes with an abstention."""
+    best = hits.agg(F.count("*").alias("hits"), F.max("bm25").alias("max_bm25"), F.max("cosine").alias("max_cosine"))
+    evident = F.coalesce(F.col("max_bm25") >= bm25_floor, F.lit(False)) | F.coalesce(F.col("max_cosine") >= cosine_floor, F.lit(False))
+    return best.withColumn("evident", evident).withColumn("note", F.when(~evident, "no evidence above the floors"))
+
+
 def expand(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """One hop over traversable edges from entity hits (slug): slug, neighbour, type, weight."""
     return undirected(edges.filter("traversable")).join(hits.select("slug").distinct(), "slug").select("slug", F.col("other").alias("neighbour"), "type", "weight")

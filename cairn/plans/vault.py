@@ -401,6 +401,25 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     return hits.withColumns({"bm25": F.round("bm25", 6), "cosine": F.round("cosine", 6), "score": F.round("score", 9)})
 
 
+_TOP = f"{_FUSED}, top AS (SELECT * FROM fz ORDER BY round(score, 12) DESC, doc_id LIMIT 8), j AS (SELECT t.doc_id, lex.bm25, vec.cosine FROM top t JOIN documents o ON o.doc_id = t.doc_id LEFT JOIN lex ON lex.doc_id = t.doc_id LEFT JOIN vec ON vec.vec_id = t.doc_id), s AS (SELECT count(*) AS hits, max(bm25) AS b, max(cosine) AS c FROM j)"
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return search.local_search(_docs(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), QUERY, _query_vector(spark, d))
+
+
+@R.add("A14_signals", f"WITH {_TOP} SELECT hits, round(b, 6) AS max_bm25, round(c, 6) AS max_cosine, coalesce(b >= 2.0, false) OR coalesce(c >= 0.35, false) AS evident, CASE WHEN NOT (coalesce(b >= 2.0, false) OR coalesce(c >= 0.35, false)) THEN 'no evidence above the floors' END AS note FROM s")
+def a14(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest scores of the hits and whether they are evidence."""
+    return search.signals(_hits(spark, d)).withColumns({"max_bm25": F.round("max_bm25", 6), "max_cosine": F.round("max_cosine", 6)})
+
+
+@R.add("P16_shown_hits", f"WITH {_TOP} SELECT doc_id FROM j, s WHERE coalesce(b >= 2.0, false) OR coalesce(c >= 0.35, false)")
+def p16(spark: SparkSession, d: str) -> DataFrame:
+    """The hits as they are given: none without evidence."""
+    return search.shown(_hits(spark, d)).select("doc_id")
+
+
 @R.add("P4_kind_filter", f"WITH {_bm25_sql().replace('WHERE f0 > 0', 'WHERE kind IN (' + chr(39) + 'note' + chr(39) + ', ' + chr(39) + 'report' + chr(39) + ') AND (f0 > 0').replace('ORDER BY bm25 DESC, doc_id LIMIT 40', ') ORDER BY bm25 DESC, doc_id LIMIT 40')} SELECT doc_id, kind, round(bm25, 6) AS bm25 FROM lex")
 def p4_kind(spark: SparkSession, d: str) -> DataFrame:
     """BM25 within two kinds; statistics over all kinds."""

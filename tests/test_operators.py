@@ -264,3 +264,11 @@ def test_community_hashes_follow_their_members(spark):
     assert run([("g1", 0, None, ["b", "a"]), ("g2", 0, None, ["c"])], [("c", "3"), ("b", "2"), ("a", "1")]) == one  # whatever the order
     changed = run([("g1", 0, None, ["a", "b"]), ("g2", 0, None, ["c"])], [("a", "1"), ("b", "changed"), ("c", "3")])
     assert changed["g1"] != one["g1"] and changed["g2"] == one["g2"]
+
+
+def test_hits_without_evidence_are_withheld(spark):
+    schema = "doc_id long, bm25 double, cosine double"
+    weak, strong = spark.createDataFrame([(1, 1.9, None), (2, None, 0.34)], schema), spark.createDataFrame([(1, 0.1, None), (2, None, 0.35)], schema)
+    assert search.shown(search.gate(weak)).count() == 0 and search.shown(search.gate(strong)).count() == 2
+    assert [tuple(r) for r in search.signals(weak).collect()] == [(2, 1.9, 0.34, False, "no evidence above the floors")]
+    assert search.signals(strong).first()["note"] is None and search.signals(weak.limit(0)).first()["hits"] == 0
