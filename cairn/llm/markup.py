@@ -426,6 +426,8 @@ class Boosted:
         """All trees go down together, one level at a time."""
         if not self.trees:
             return np.full(len(x), self.base)
+        if len(x) > 20_000:  # room for rows times trees
+            return np.concatenate([self.logits(x[i : i + 20_000]) for i in range(0, len(x), 20_000)])
         x = np.minimum(x, 63)
         feature, cut, leaf = (np.stack(part) for part in zip(*self.trees, strict=True)) if self._stacked is None else self._stacked
         self._stacked = feature, cut, leaf
@@ -634,14 +636,21 @@ def trees() -> Boosted:
     return Boosted().fit(x, y)
 
 
-def judge(text: str, kind: str | None, model: Boosted) -> tuple[list[Node], np.ndarray]:
+Judged = tuple[list[Node], np.ndarray]
+
+
+def judge_all(texts: list[tuple[str, str | None]], model: Boosted) -> list[Judged]:
+    """The nodes of each text (with its block's kind) and which of them are markup; the trees see the nodes of all texts at once."""
+    parsed = [parse(t) if SUSPECT.search(t) else [] for t, _ in texts]
+    rows = [features(t, nodes, kind) for (t, kind), nodes in zip(texts, parsed, strict=True) if nodes]
+    logit = model.logits(np.concatenate(rows)) if rows else np.empty(0)
+    ends = np.cumsum([len(nodes) for nodes in parsed])
+    return [(nodes, decode(nodes, logit[end - len(nodes) : end]) if nodes else np.zeros(0, bool)) for nodes, end in zip(parsed, ends.tolist(), strict=True)]
+
+
+def judge(text: str, kind: str | None, model: Boosted) -> Judged:
     """The nodes of a text and which of them are markup."""
-    if not SUSPECT.search(text):
-        return [], np.zeros(0, bool)
-    nodes = parse(text)
-    if not nodes:
-        return nodes, np.zeros(0, bool)
-    return nodes, decode(nodes, model.logits(features(text, nodes, kind)))
+    return judge_all([(text, kind)], model)[0]
 
 
 def render(text: str, nodes: list[Node], take: np.ndarray, kind: str | None, level: int | None) -> list[tuple[str | None, int | None, str]]:
@@ -730,10 +739,11 @@ def _cells(line: str, model: Boosted) -> list[str]:
     return [line[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(line)], strict=True)]
 
 
-def clean_block(text: str | None, kind: str | None, level: int | None, model: Boosted) -> tuple[list[tuple[str | None, int | None, str | None]], list[str]]:
+def clean_block(text: str | None, kind: str | None, level: int | None, model: Boosted, judged: Judged | None = None) -> tuple[list[tuple[str | None, int | None, str | None]], list[str]]:
     """Parts of a block and the families of the constructs in it.
 
-    Code is left as it is. Of a table the pipes are its own and the cells are read one by one. Null text stays null.
+    Code is left as it is. Of a table the pipes are its own and the cells are read one by one. Null text stays null. ``judged``: the
+    text's nodes and verdicts, if they are known already.
     """
     if text is None or kind == "code":
         return [(kind, level, text)], []
@@ -742,14 +752,14 @@ def clean_block(text: str | None, kind: str | None, level: int | None, model: Bo
         rows = []
         for line in text.split("\n"):
             piped = "|" in line and not re.fullmatch(r"[\s|:-]*", line)
-            done = []
-            for c in _cells(line, model) if piped else [line]:
-                nodes, take = judge(c.strip(), kind, model) if piped or "|" not in c else ([], np.zeros(0, bool))
+            done, cells = [], _cells(line, model) if piped else [line]
+            judged = judge_all([(c.strip(), kind) for c in cells], model) if piped or "|" not in line else [([], np.zeros(0, bool))]
+            for c, (nodes, take) in zip(cells, judged, strict=True):
                 found += _names(nodes, take)
                 done.append(" ".join(x for _, _, x in render(c.strip(), nodes, take, None, None)) if take.any() else c.strip())
             rows.append(f"| {' | '.join(done)} |" if piped else done[0])
         return [(kind, level, "\n".join(rows) if found else text)], found
-    nodes, take = judge(text, kind, model)
+    nodes, take = judged or judge(text, kind, model)
     if not take.any():
         return [(kind, level, text)], []
     return render(text, nodes, take, kind, level), _names(nodes, take)
@@ -772,9 +782,14 @@ def clean(blocks: DataFrame) -> DataFrame:
         types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string()))
         for b in batches:
             out: list[tuple] = []
-            for i, t, k, lv in zip(*(b.column(c).to_pylist() for c in ("block_id", "text", "kind", "level")), strict=True):
-                parts, found = clean_block(t, k, lv, shared.value)
-                out += [(i, j, *p, bool(found), sorted(set(found))) for j, p in enumerate(parts)]
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("block_id", "text", "kind", "level")), strict=True))
+            for a in range(0, len(rows), 500):
+                part = rows[a : a + 500]
+                plain = [n for n, (_, t, k, _) in enumerate(part) if t is not None and k not in ("code", "table")]
+                judged = dict(zip(plain, judge_all([part[n][1:3] for n in plain], shared.value), strict=True))
+                for n, (i, t, k, lv) in enumerate(part):
+                    parts, found = clean_block(t, k, lv, shared.value, judged.get(n))
+                    out += [(i, j, *p, bool(found), sorted(set(found))) for j, p in enumerate(parts)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block_id", "part", "kind", "level", "text", "residue", "constructs"])
 

@@ -120,6 +120,16 @@ def test_table_cells_and_code(trees):
     assert M.clean_block("<b>x</b> **y**", "code", None, trees)[1] == []
 
 
+def test_texts_judged_together_or_alone(trees, sf):
+    import duckdb
+
+    texts = duckdb.sql(f"SELECT text, kind FROM '{sf}/blocks.parquet' WHERE text IS NOT NULL").fetchall() + [("", None)]
+    for (nodes, take), (t, k) in zip(M.judge_all(texts, trees), texts):
+        alone, own = M.judge(t, k, trees)
+        assert [(n.start, n.end) for n in nodes] == [(n.start, n.end) for n in alone] and take.tolist() == own.tolist()
+    assert M.judge_all([], trees) == []
+
+
 def test_operator_defines_nulls_and_extremes(spark):
     rows = [(1, None, "paragraph", None), (2, "", "paragraph", None), (3, "<!-- only -->", "paragraph", None), (4, "**a** " * 5000, None, None), (5, "<" * 3000, "paragraph", None)]
     df = spark.createDataFrame(rows, "block_id long, text string, kind string, level int").selectExpr("*", "'x' as part")
