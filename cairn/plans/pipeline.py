@@ -131,9 +131,10 @@ def v1(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("G2_quarantine")
 def g2(spark: SparkSession, d: str) -> DataFrame:
-    """Notes that reuse an item id of an earlier note, on the raw deliveries; an iterative fold, held against a sequential model in the tests."""
+    """Notes that reuse a relationship's or a claim's id of an earlier note, on the raw deliveries; an iterative fold, held against a sequential model in the tests."""
     v = vault(spark, d)
-    items = table(spark, d, "assertions").select(F.trim("note_id").alias("note_id"), "id", "type").distinct()
+    items = table(spark, d, "assertions").select(F.trim("note_id").alias("note_id"), F.concat(F.lit("relationship "), "id").alias("id"), "type").distinct()
+    items = items.unionByName(table(spark, d, "claims").select(F.trim("note_id").alias("note_id"), F.concat(F.lit("claim "), "id").alias("id"), F.lit(None).cast("string").alias("type")).distinct())
     return fold.quarantine(v["notes"], items.join(v["notes"].select(F.col("id").alias("note_id")), "note_id", "left_semi"), v["edge_types"])
 
 
